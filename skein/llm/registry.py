@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, quality, sharding, simhash
+from skein.llm import bpe, mixing, quality, sharding, simhash
 
-_MODULES = (quality, sharding, simhash, mixing)
+_MODULES = (quality, sharding, simhash, bpe, mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
