@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, embed_dedup, mixing, quality, sharding, simhash
+from skein.llm import bpe, embed_dedup, mixing, quality, sharding, simhash, toxicity
 
-_MODULES = (quality, sharding, simhash, bpe, embed_dedup, mixing)
+_MODULES = (quality, sharding, simhash, bpe, toxicity, embed_dedup, mixing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
