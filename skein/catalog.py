@@ -4,5 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from skein.queries import relational, texts, walks
+
+_MODULES = (relational, walks, texts)
+
+QUERIES: dict[str, Callable] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
