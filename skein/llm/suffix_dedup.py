@@ -59,6 +59,7 @@ NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 22) - 1)
 _FULL, _ASK, _PART, _TEXT = 0, 1, 2, 3
 _powers = np.ones(1, np.uint64)
@@ -89,8 +90,8 @@ def substring_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * _SPREAD
+    x = (x ^ (x >> np.uint64(32))) * _SPREAD
     return x ^ (x >> np.uint64(32))
 
 
@@ -103,7 +104,8 @@ def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         n = len(b)
         h = prefix_hashes(b)
         _, inverses = _power_tables(n + 1)
-        grams = _mix((h[GRAM:] - h[: n - GRAM + 1]) * inverses[: n - GRAM + 1])
+        grams = (h[GRAM:] - h[: n - GRAM + 1]) * inverses[: n - GRAM + 1]
+        grams = (grams ^ (grams >> np.uint64(32))) * _SPREAD  # the upper bits, which alone are used, depend on all
         least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         have = 1
         while 2 * have <= WIDTH:
@@ -319,14 +321,15 @@ class SuffixSort:
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes, ``span`` at most, by binary search on hashes."""
+        h, (_, inverses) = self.h, _power_tables(len(self.h))
+        hx, hy, ix, iy = h[x], h[y], inverses[x], inverses[y]
         got = np.zeros(len(x), np.int64)
         step = 1 << (self.span.bit_length() - 1)
         while step:
-            fits = got + step <= self.span
-            p, q = x + got, y + got
-            stop = np.where(fits, step, 0)
-            same = fits & (substring_hashes(self.h, p, p + stop) == substring_hashes(self.h, q, q + stop))
-            got += np.where(same, step, 0)
+            longer = got + step
+            at = np.minimum(longer, self.span)
+            same = (h[x + at] - hx) * ix == (h[y + at] - hy) * iy
+            got = np.where(same & (longer <= self.span), longer, got)
             step >>= 1
         return got
 
@@ -428,11 +431,11 @@ def covered_bytes(raw: bytes, codes: list[tuple[int, bytes]]) -> np.ndarray:
             by = np.argsort(ids)
             ids, masks = ids[by], masks[by]
             at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            mask = np.where(ids[at] == own, masks[at], 0)
-            for k in range(WIDTH):
-                s = first[(mask >> k) & 1 == 1] + k
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s + SPAN, -1)
+            hit = np.nonzero(ids[at] == own)[0]
+            i, k = np.nonzero(masks[at[hit], None] >> np.arange(WIDTH, dtype=np.uint32) & 1)
+            s = first[hit[i]] + k
+            np.add.at(edge, s, 1)
+            np.add.at(edge, s + SPAN, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
