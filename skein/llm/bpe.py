@@ -32,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -63,7 +64,9 @@ WITH RECURSIVE parts(piece, pos, tok, round) AS (
     FROM parts p JOIN least ON p.piece = least.piece
     WHERE p.pos <> packed % 65536 + 1
   )
-), done AS (SELECT piece, pos, tok FROM parts QUALIFY round = max(round) OVER (PARTITION BY piece))
+), done AS (
+    SELECT piece, pos, tok FROM parts JOIN (SELECT piece, max(round) AS round FROM parts GROUP BY piece) USING (piece, round)
+)
 """
 _ROUND = """
 CREATE OR REPLACE TEMP TABLE parts AS
@@ -103,7 +106,7 @@ class Codec:
         self.long_piece = long_piece
         self.young: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
-        self.byte_ids = [of[bytes([i])] for i in range(256)]
+        self.byte_ids = np.array([of[bytes([i])] for i in range(256)], np.int32)
         merges = [
             (of[t[:i]] * 65536 + of[t[i:]], rank)
             for t, rank in of.items()
@@ -119,14 +122,10 @@ class Codec:
             self.db.unregister("given")
 
     def _contract(self, pieces: list[bytes], long: bool) -> list[tuple[int, str, str]]:
-        ids = self.byte_ids
-        start = pa.table(
-            {
-                "piece": pa.array([n for n, p in enumerate(pieces) for _ in p], pa.int32()),
-                "pos": pa.array([i for p in pieces for i in range(len(p))], pa.int32()),
-                "tok": pa.array([ids[b] for p in pieces for b in p], pa.int32()),
-            }
-        )
+        size = np.array([len(p) for p in pieces])
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        pos = (np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        start = pa.table({"piece": piece, "pos": pos, "tok": self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]})
         self.db.register("start", start)
         try:
             if not long:
