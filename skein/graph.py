@@ -69,7 +69,7 @@ class Graph:
 
 def complete(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` in the columns of ``schema``, with defaults for those it lacks."""
-    level = F.col("confidence") if "confidence" in df.columns else F.lit("EXTRACTED")
+    level = F.coalesce(F.col("confidence"), F.lit("EXTRACTED")) if "confidence" in df.columns else F.lit("EXTRACTED")
     score = F.lit(None).cast("double")
     for name, value in CONFIDENCE.items():
         score = F.when(level == name, F.lit(value)).otherwise(score)
