@@ -25,7 +25,7 @@ Texts move only for documents with codes (a bitmap of fixed size, which may let
 others pass, filters before the shuffle).  Copies within an Arrow batch are
 settled there, so what a third of all documents share reaches its bucket once
 per batch.  Buckets hold about ``BUCKET_ENTRIES`` segments however large the
-input is, and long texts are worked on in chunks.
+input is, suffixes are sorted ``SORT_ROWS`` at a time, and long texts are worked on in chunks.
 
 Defined results: a null text is empty and loses nothing; texts under 50 bytes
 lose nothing; equal doc_ids do not cover each other; a null doc_id counts as
@@ -52,7 +52,8 @@ GRAM = 20
 WIDTH = SPAN - GRAM + 1
 CHUNK = 1 << 18
 BATCH_BYTES = 8_000_000
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
+SORT_ROWS = 200_000
 DENSITY = 2 / (WIDTH + 1)
 BITMAP_BITS = 1 << 23
 NO_ID = (1 << 63) - 1
@@ -404,12 +405,18 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held, window, group = held[some], window[some], group[some]
         if not len(held):
             continue
-        perm, cls = SuffixSort(raw).classes(base[held] + window, group)
-        least = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, cls, doc[held[perm]])
-        covered = perm[doc[held[perm]] > least[cls]]
-        mask = np.zeros(len(n), np.int64)
-        np.bitwise_or.at(mask, held[covered], np.int64(1) << window[covered])
+        sort, mask = SuffixSort(raw), np.zeros(len(n), np.int64)
+        heads = np.append(np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], len(group))
+        at = 0
+        while at < len(group):  # whole groups, about SORT_ROWS suffixes at a time
+            end = int(heads[max(np.searchsorted(heads, at + SORT_ROWS, "right") - 1, np.searchsorted(heads, at, "right"))])
+            h, w, g = held[at:end], window[at:end], group[at:end]
+            perm, cls = sort.classes(base[h] + w, g)
+            least = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, cls, doc[h[perm]])
+            covered = perm[doc[h[perm]] > least[cls]]
+            np.bitwise_or.at(mask, h[covered], np.int64(1) << w[covered])
+            at = end
         hit = np.nonzero(mask)[0]
         yield from _emit_codes(_code_rows(doc[hit], _PART, e[hit], mask[hit]))
 

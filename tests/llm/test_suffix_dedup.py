@@ -65,6 +65,7 @@ def test_chunks_batches_and_buckets_do_not_matter(monkeypatch):
 
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].encode() for r in rows], pa.binary())], ["order", "raw"])
     monkeypatch.setattr(s, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(s, "SORT_ROWS", 40)
 
     def by(batches, key):
         t = pa.Table.from_batches(list(batches))
