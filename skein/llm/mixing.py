@@ -178,4 +178,33 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_pareto_mixing": op10_pareto_mixing}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The same mix with every source ordered whole."""
+    sql = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+ s0 AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+ s1 AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS w_all,
+        coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0) AS cap_before, coalesce(sum(w) OVER b, 0) AS w_before
+        FROM s0 WINDOW b AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ s2 AS (SELECT *, cap <= (total - cap_before) / (w_all - w_before) * w AS "full" FROM s1),
+ s3 AS (SELECT source, source_size, CASE WHEN "full" THEN cap ELSE least(cap, (total - coalesce(sum(CASE WHEN "full" THEN cap END) OVER (), 0)) * w / sum(CASE WHEN NOT "full" THEN w END) OVER ()) END AS target FROM s2),
+ plan AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS part, part * source_size AS rest FROM s3),
+ j AS (SELECT d.*, p.source_size, target, whole, part, ((size * {CLASSES[0]} <= rest)::INT + (size * {CLASSES[1]} <= rest)::INT) AS class,
+       (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+       FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+ q AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN u / (1 - u) / (part / (1 - part) * sqrt(size)) END AS pareto FROM j),
+ k AS (SELECT *, sum(size) OVER (PARTITION BY source, class ORDER BY pareto / (1 + pareto) ROWS UNBOUNDED PRECEDING) AS cum FROM q WHERE part > 0 AND size > 0),
+ o0 AS (SELECT source, 0.0::DOUBLE AS owed FROM plan)"""
+    for c in range(len(CLASSES) + 1):
+        sql += f""",
+ w{c} AS (SELECT o.source, owed + coalesce(words, 0) AS words FROM o{c} o LEFT JOIN (SELECT source, sum(size * part) AS words FROM k WHERE class = {c} GROUP BY source) h ON o.source IS NOT DISTINCT FROM h.source),
+ t{c} AS (SELECT k.* FROM k JOIN w{c} w ON k.source IS NOT DISTINCT FROM w.source WHERE class = {c} AND words > 0 AND cum - size / 2 <= words),
+ o{c + 1} AS (SELECT w.source, words - coalesce(got, 0) AS owed FROM w{c} w LEFT JOIN (SELECT source, sum(size) AS got FROM t{c} GROUP BY source) g ON w.source IS NOT DISTINCT FROM g.source)"""
+    taken = " UNION ALL ".join(f"SELECT doc_id FROM t{c}" for c in range(len(CLASSES) + 1))
+    return sql + f"""
+SELECT doc_id, size, source_size, target, (whole + (doc_id IN ({taken}))::BIGINT) * size AS taken, source, whole + (doc_id IN ({taken}))::BIGINT AS copies FROM q"""
+
+
+ORACLES = {"op10_pareto_mixing": _oracle()}
