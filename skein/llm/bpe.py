@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.columns import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 NEW_PIECES = 20_000
 BATCH_CHARS = 2_000_000
 LONG_PIECE = 64
