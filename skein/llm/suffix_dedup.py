@@ -498,7 +498,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blob = "docs binary, a binary, e binary"
     anchors = base.where(F.octet_length("raw") >= SPAN).mapInArrow(_anchor_blobs(buckets), f"bucket int, {blob}, o binary, fe binary, fo binary")
     codes = "order long, kind int, payload binary"
-    matched = table(anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments, codes), "segments")
+    matched = table(anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments, codes), "segments")
 
     def texts(where) -> DataFrame:
         return base.where(where).select("order", F.lit(_TEXT).alias("kind"), F.col("raw").alias("payload"))
@@ -511,7 +511,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     asks = matched.where(F.col("kind") == _ASK)
     contexts = meet(asks, texts(_in_bitmap(_bitmap(asks)))).mapInArrow(_context_blobs(buckets), f"bucket int, {blob}, off binary, n binary, bytes binary")
-    part = table(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes, codes), "windows")
+    part = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes, codes), "windows")
 
     answers = matched.where(F.col("kind") == _FULL).unionAll(part)
     hit = _in_bitmap(_bitmap(answers))
