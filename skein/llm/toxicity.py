@@ -10,8 +10,13 @@ such as an insult together with a group name, which additive weights miss.
 
 It is fitted on the driver by AdaGrad on at most ``TRAIN_ROWS`` labelled rows,
 those with the smallest hash of doc_id among the rows whose ``crc32(doc_id) mod
-4`` is not 2; only their hashed terms travel, and only the ``TERMS`` columns that
-tell the classes apart best (chi-square) enter the model, so its size is fixed.
+4`` is not 2; only their hashed terms travel.  Every column that ``LEAST_DOCS`` of
+these rows hold, and not all of them, enters the model, which ``2**HASH_BITS``
+bounds: a term may tell something only together with another, so none is left
+out for what it tells alone.  Instead weights pay for their size (an absolute
+penalty for w, a squared one for v, each by the square root of the column's share
+of the rows, the noise of its gradient).  The weights are fitted first, then
+weights and factors together on what they leave.
 Scoring is one pass of Arrow batches over all documents.
 
 Labels, language, source and doc_id are never inputs of a score.
@@ -39,16 +44,17 @@ from skein.llm.columns import documents
 HASH_BITS = 20
 STEMS = (4, 5, 6)
 TRAIN_ROWS = 30_000
-TERMS = 4096
 LEAST_DOCS = 3
-#: A column enters if its chi-square is above this, and at most this share of the number of rows enters.
-LEAST_CHI = 20.0
-TERMS_PER_ROW = 0.15
 FACTORS = 8
 EPOCHS = 25
 BATCH = 256
 RATE = 0.1
-L2 = 1e-3
+#: Penalties of |w| and of v squared, times sqrt(share of the rows / rows).
+W_PENALTY = 0.3
+V_PENALTY = 3.0
+#: A step of w, of v, moves the scores of its rows by at most this much (root mean square).
+W_MOVE = 10.0
+V_MOVE = 0.3
 SEED = 5
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -88,12 +94,20 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
 
 
+def _by_doc(x: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``x`` per document; ``doc`` ascends."""
+    out = np.zeros((n, *x.shape[1:]))
+    if len(doc):
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        out[doc[first]] = np.add.reduceat(x, first, axis=0)
+    return out
+
+
 def _forward(w0, w, v, rows):
     term, doc = _flat(rows)
-    sums = np.zeros((len(rows), v.shape[1]))
-    np.add.at(sums, doc, v[term])
-    squares = np.zeros(len(rows))
-    np.add.at(squares, doc, (v[term] ** 2).sum(axis=1))
+    factors = v[term]
+    sums = _by_doc(factors, doc, len(rows))
+    squares = _by_doc(np.einsum("ij,ij->i", factors, factors), doc, len(rows))
     linear = np.bincount(doc, w[term], len(rows))
     return w0 + linear + 0.5 * ((sums**2).sum(axis=1) - squares), term, doc, sums
 
@@ -102,30 +116,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def choose_columns(rows: list[np.ndarray], y: np.ndarray, most: int = TERMS, least: float = LEAST_CHI) -> np.ndarray:
-    """The columns with the largest chi-square against the label, ascending."""
-    n, pos = len(y), y.sum()
-    docs = np.zeros(1 << HASH_BITS)
-    hits = np.zeros(1 << HASH_BITS)
-    for r, label in zip(rows, y):
+def usable_columns(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that enter, ascending, and how many rows hold each."""
+    docs = np.zeros(1 << HASH_BITS, np.int64)
+    for r in rows:
         docs[r] += 1
-        hits[r] += label
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gap = hits * n - docs * pos
-        chi = np.where((docs >= LEAST_DOCS) & (docs < n), gap**2 * n / (docs * (n - docs) * pos * (n - pos)), 0)
-    room = min(most, max(64, int(n * TERMS_PER_ROW)))
-    usable = np.nonzero((docs >= LEAST_DOCS) & (docs < n))[0]
-    if len(usable) <= room:
-        return usable  # no need to choose; terms that tell something in pairs only stay in
-    best = np.argsort(-chi, kind="stable")[:room]
-    return np.sort(best[chi[best] > least])
+    columns = np.flatnonzero((docs >= LEAST_DOCS) & (docs < len(rows)))
+    return columns, docs[columns]
+
+
+def _within(move: np.ndarray, most: float) -> float:
+    """The share of a step that moves scores by ``most`` at the root mean square."""
+    return min(1.0, most / np.sqrt((move**2).mean() + 1e-12))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     """A machine from hashed columns and labels (0 or 1)."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    n = len(y)
+    share = (y.sum() + 0.5) / (n + 1)
     w0 = float(np.log(share / (1 - share)))
-    columns = choose_columns(rows, y) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
+    columns, docs = usable_columns(rows) if 0 < y.sum() < n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(columns)), rng.normal(0, 0.01, (len(columns), factors))
     model = Machine(columns, w0, w, v)
@@ -133,27 +143,43 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: i
         return model
     at = model.place()
     rows = [(k := at[r])[k >= 0] for r in rows]
+    noise = np.sqrt(docs) / n
+    back_of = np.zeros(len(columns), np.int64)
     g0, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), BATCH):
+    for epoch in range(2 * epochs if factors else epochs):
+        pairs = epoch >= epochs
+        order = rng.permutation(n)
+        for a in range(0, n, BATCH):
             part = order[a : a + BATCH]
-            margin, term, doc, sums = _forward(w0, w, v, [rows[i] for i in part])
+            batch = [rows[i] for i in part]
+            margin, term, doc, sums = _forward(w0, w, v if pairs else v[:, :0], batch)
             err = (sigmoid(margin) - y[part]) / len(part)
             g = err.sum()
             g0 += g * g
             w0 -= RATE * g / np.sqrt(g0)
             if not len(term):
                 continue
-            used, back = np.unique(term, return_inverse=True)
-            dw = np.bincount(back, err[doc], len(used)) + L2 * w[used]
-            dv = np.zeros((len(used), v.shape[1]))
-            np.add.at(dv, back, err[doc, None] * (sums[doc] - v[term]))
-            dv += L2 * v[used]
+            used = np.flatnonzero(np.bincount(term, minlength=len(w)))
+            back_of[used] = np.arange(len(used))
+            back = back_of[term]
+            dw = np.bincount(back, err[doc], len(used))
             gw[used] += dw**2
-            w[used] -= RATE * dw / np.sqrt(gw[used])
+            rate = RATE / np.sqrt(gw[used])
+            rate *= _within(np.bincount(doc, (rate * dw)[back], len(part)), W_MOVE)
+            moved = w[used] - rate * dw
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * W_PENALTY * noise[used], 0)
+            if not pairs:
+                continue
+            own, pull = v[used], err[:, None] * sums
+            dv = np.stack([np.bincount(back, pull[doc, f], len(used)) for f in range(factors)], axis=1)
+            dv += (V_PENALTY * noise[used] - dw)[:, None] * own
             gv[used] += dv**2
-            v[used] -= RATE * dv / np.sqrt(gv[used])
+            step = RATE * dv / np.sqrt(gv[used])
+            # The change of half of (squared sums less sums of squares).
+            change = _by_doc(step[back], doc, len(part))
+            single = np.einsum("ij,ij->i", step, own - 0.5 * step)
+            move = ((sums - 0.5 * change) * change).sum(axis=1) - np.bincount(doc, single[back], len(part))
+            v[used] = own - _within(move, V_MOVE) * step
     return Machine(columns, float(w0), w, v)
 
 

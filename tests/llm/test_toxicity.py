@@ -35,6 +35,21 @@ def test_learns_a_pair_that_additive_weights_miss(spark):
     assert np.mean((t.sigmoid(margins) >= 0.5) == y) < 0.8
 
 
+def test_learns_a_pair_among_thousands_of_words():
+    rnd = random.Random(4)
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(3000)]
+    cases = [(rnd.random() < 0.5, rnd.random() < 0.5) for _ in range(4000)]
+    rows = []
+    for a, b in cases:
+        rows.append(t.term_columns(" ".join([rnd.choice(words) for _ in range(rnd.randint(5, 40))] + ["rotten"] * a + ["villagers"] * b)))
+    y = np.array([float(a != b) for a, b in cases])
+    model = t.fit(rows[:3000], y[:3000])
+    assert len(model.columns) > 3000
+    at = model.place()
+    got = t.sigmoid(model.margins([(k := at[r])[k >= 0] for r in rows[3000:]])) >= t.THRESHOLD
+    assert np.mean(got == y[3000:]) > 0.9
+
+
 def test_margin_equals_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = t.Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
