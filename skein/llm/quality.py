@@ -8,7 +8,8 @@ Copies are the business of near-duplicate removal, so a family of copies does
 not make its own lines frequent: each document gets a family sketch (its smallest
 and largest 3-word-window hash, which near copies share with a probability near
 the square of their similarity), a line's largest family counts as one
-document, and a line whose documents are mostly one family is left alone.
+document, and the members of a family that makes up most of a line's documents
+keep the line.  Other documents are judged without regard to its size.
 
 Only DataFrame functions are used.  The documents are read once; what later
 steps need (a few numbers and the line hashes) is written to the shared folder.
@@ -33,7 +34,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line goes if more than this many distinct documents of its host hold it ...
 LINE_DOCS = 5
-#: ... and at least this share of them lies outside its largest family of copies.
+#: ... its largest family counted as one; that family keeps the line if less than this share of them lies outside it.
 OUTSIDE_SHARE = 0.4
 #: A document is depleted if more than this share of its words stands on removed lines.
 DEPLETED_SHARE = 0.5
@@ -134,16 +135,25 @@ def line_quality(
     outside = F.col("docs") - F.col("top") + 1
     frequent = (
         by_family.groupBy("host", "h")
-        .agg(F.sum("n").alias("docs"), F.max("n").alias("top"))
-        .where((outside > line_docs) & (outside >= outside_share * F.col("docs")))
-        .select(F.col("host").alias("f_host"), F.col("h").alias("f_h"))
+        .agg(F.sum("n").alias("docs"), F.max(F.struct("n", "family")).alias("largest"))
+        .select("host", "h", "docs", F.col("largest.n").alias("top"), F.col("largest.family").alias("family"))
+        .where(outside > line_docs)
+        .select(
+            F.col("host").alias("f_host"),
+            F.col("h").alias("f_h"),
+            F.when(outside < outside_share * F.col("docs"), F.col("family")).alias("f_exempt"),
+        )
     )
     frequent = table(frequent, "frequent")
 
     hit = (
-        m.select("doc_id", "text_key", "host", F.explode("lines").alias("l"))
-        .select("doc_id", "text_key", "host", "l.h", "l.w")
-        .join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")), "left_semi")
+        m.select("doc_id", "text_key", "host", "family", F.explode("lines").alias("l"))
+        .select("doc_id", "text_key", "host", "family", "l.h", "l.w")
+        .join(
+            frequent,
+            F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")) & ~F.col("family").eqNullSafe(F.col("f_exempt")),
+            "left_semi",
+        )
         .groupBy("doc_id", "text_key", "host")
         .agg(F.sum("w").alias("hit_words"), F.collect_set("h").alias("frequent"))
         .select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("host").alias("r_host"), "hit_words", "frequent")

@@ -43,6 +43,17 @@ def test_shared_notice_goes_and_copies_stay(spark):
     assert left[3] == own[3] and left[205] == own[25] and 100 not in left
 
 
+def test_copies_of_one_page_do_not_shield_a_notice_on_others(spark):
+    notice = "subscribe to our letter for more of the same kind every single day of the week"
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(1000)]
+    own = [" ".join(words[i * 60 : i * 60 + 60]) for i in range(16)]
+    rows = [(i, notice + "\n" + own[i], "en", "host", 1) for i in range(12)]
+    rows += [(100 + i, notice + "\n" + own[15], "en", "host", 1) for i in range(40)]
+    got = {r.doc_id: r for r in line_quality(frame(spark, rows)).collect()}
+    assert all(got[i].removed_words == 16 for i in range(12))
+    assert all(got[100 + i].removed_words == 0 and got[100 + i].kept for i in range(40))
+
+
 def test_empty_and_extra_columns(spark):
     assert line_quality(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = frame(spark).selectExpr("*", "1 as h", "2 as host", "3 as f_h", "4 as n", "5 as m")
