@@ -18,11 +18,23 @@ of its target where it has enough of them.
 
 Only DataFrame functions are used.  A class is cut at a rank threshold for each
 source: word sums by (source, rank bucket), with map-side partial sums, name the
-bucket the cut falls in, and only that bucket's rows are ordered exactly.  No
-task orders a whole source, and documents meet one row per source.
-
-Defined results: a null or blank text has size 0 and is taken 0 words; repeated
-rows are separate documents with the same draw; an empty table gives no rows.
+bucket the cut falls in, and only that bucket's distinct ranks are ordered.  No
+task orders a whole source, and documents meet one row per source.  Texts are
+not shuffled: the rows go to the shared folder with their sizes and draws, and
+the plan, one row per source, comes to them.
+
+A draw depends on doc_id, size and text, so only repeated rows tie.  A cut that
+falls among tied rows takes the whole number of them that comes nearest, the
+first by their place in the written rows: counts by (source, file part) name the
+part, and that part's rows alone are numbered.
+
+Sources are rows of one window (their order fixes the weights): ten million of
+them are about a gigabyte in one task, a bound on hosts and not on documents.
+
+Defined results: a null or blank text has size 0 and is taken 0 words; a null
+source is a source of its own; repeated rows are separate documents with the
+same draw; a null doc_id draws like any other; other columns are carried along;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +51,7 @@ WEIGHTS = (1, 2, 3)
 #: Size classes of the fractional part: over 1/8 of the words to fill, over 1/64, the rest.
 CLASSES = (8, 64)
 BUCKETS = 4096
+MOST = (1 << 63) - 1
 SEED = "pareto-1"
 
 
@@ -60,16 +73,20 @@ def targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS
     return s.select("source", "source_size", share.alias("target"))
 
 
-def _draw(doc_id: Column, size: Column) -> Column:
+def _draw(doc_id: Column, size: Column, text: Column) -> Column:
     """A uniform number inside (0, 1) that depends on the document alone."""
-    text = F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"))
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    own = F.concat_ws(
+        ":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    )
+    return (F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def _cut(cands: DataFrame, want: DataFrame) -> DataFrame:
-    """(s, top, got): per source the largest rank taken and the words that ranks up to it hold.
+    """(s, top, ties, of, got): per source the largest rank taken, how many of the rows of that rank are
+    taken, how many there are, and the words taken in all.
 
-    ``cands``: (s, rank in [0, 1), size); ``want``: (s, words).
+    ``cands``: (s, rank in [0, 1), size); ``want``: (s, words).  Rows of one source
+    and rank have one size.  ``top`` is below every rank where nothing is taken.
     """
     bucket = F.floor(F.col("rank") * BUCKETS)
     hist = cands.groupBy("s", bucket.alias("b")).agg(F.sum("size").alias("size"))
@@ -78,13 +95,18 @@ def _cut(cands: DataFrame, want: DataFrame) -> DataFrame:
     edge = run.where((F.col("cum") > F.col("words")) & (F.col("cum") - F.col("size") <= F.col("words")))
     edge = edge.groupBy("s").agg(F.min("b").alias("eb"), F.min(F.col("cum") - F.col("size")).alias("before"), F.first("words").alias("words"))
     rows = cands.join(edge.withColumnRenamed("s", "es"), F.col("s").eqNullSafe(F.col("es")) & (bucket == F.col("eb")))
-    so_far = Window.partitionBy("s").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = F.col("before") + F.sum("size").over(so_far)
-    taken = rows.withColumn("ok", cum - F.col("size") / 2 <= F.col("words")).where("ok").groupBy("s").agg(F.max("rank").alias("top"))
+    ranks = rows.groupBy("s", "rank").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.first("before").alias("before"), F.first("words").alias("words")
+    )
+    so_far = Window.partitionBy("s").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(so_far), F.lit(0))
+    # A row goes in if its middle lies within the words wanted.
+    fits = F.floor((F.col("words") - F.col("below")) / F.col("size") + 0.5).cast("long")
     inside = (
-        cands.join(edge.withColumnRenamed("s", "es"), F.col("s").eqNullSafe(F.col("es")) & (bucket == F.col("eb")))
-        .join(taken.withColumnRenamed("s", "ts"), F.col("s").eqNullSafe(F.col("ts")) & (F.col("rank") <= F.col("top")))
-        .groupBy("s").agg(F.sum("size").alias("in_edge"), F.first("top").alias("top"))
+        ranks.withColumn("below", below)
+        .withColumn("ties", F.least(F.col("n"), F.greatest(fits, F.lit(0))))
+        .where("ties > 0").groupBy("s")
+        .agg(F.max(F.struct("rank", "ties", "n", (F.col("below") + F.col("ties") * F.col("size")).alias("got"))).alias("last"))
     )
     total = hist.groupBy("s").agg(F.sum("size").alias("all"))
     e, i, t = edge.alias("e"), inside.alias("i"), total.alias("t")
@@ -98,18 +120,38 @@ def _cut(cands: DataFrame, want: DataFrame) -> DataFrame:
             F.col("w.s").alias("s"),
             F.when(F.col("w.words") <= 0, F.lit(-1.0))
             .when(whole, F.lit(2.0))
-            .otherwise(F.coalesce("i.top", F.col("e.eb") / BUCKETS - 1e-13)).alias("top"),
+            .otherwise(F.coalesce("i.last.rank", F.col("e.eb") / BUCKETS - 1e-13)).alias("top"),
+            F.when((F.col("w.words") > 0) & ~whole, F.col("i.last.ties")).alias("ties"),
+            F.when((F.col("w.words") > 0) & ~whole, F.col("i.last.n")).alias("of"),
             F.when(F.col("w.words") <= 0, F.lit(0)).when(whole, F.coalesce("t.all", F.lit(0)))
-            .otherwise(F.col("e.before") + F.coalesce("i.in_edge", F.lit(0))).cast("double").alias("got"),
+            .otherwise(F.coalesce("i.last.got", F.col("e.before"))).cast("double").alias("got"),
         )
     )
 
 
-def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, text_key, size, source_size, target, copies, taken) per row of ``docs``."""
-    sized = docs.select(
-        "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), n_words(F.col("text")).alias("size")
+def _last_tied(cands: DataFrame, cut: DataFrame) -> DataFrame:
+    """(s, until): the place of the last of the tied rows that go in, where a cut falls among them."""
+    among = cut.where("ties < of").select(F.col("s").alias("cs"), "top", "ties")
+    tied = cands.join(among, F.col("s").eqNullSafe(F.col("cs")) & (F.col("rank") == F.col("top"))).withColumn("part", F.shiftright("row", 33))
+    parts = tied.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"), F.first("ties").alias("ties"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = parts.withColumn("before", before).where("before < ties and before + n >= ties").select(
+        F.col("s").alias("ls"), F.col("part").alias("lpart"), (F.col("ties") - F.col("before")).alias("nth")
     )
+    rows = tied.join(last, F.col("s").eqNullSafe(F.col("ls")) & (F.col("part") == F.col("lpart")))
+    number = F.row_number().over(Window.partitionBy("s").orderBy("row"))
+    return rows.withColumn("number", number).where("number = nth").select("s", F.col("row").alias("until"))
+
+
+def mix(docs: DataFrame, carry: list[str] | None = None, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc, size, source_size, target, copies, taken) per row of ``docs``.
+
+    ``doc`` holds the columns ``carry`` of the row, all of them if not given.
+    """
+    size = n_words(F.col("text"))
+    sized = docs.select(
+        F.struct(*(docs.columns if carry is None else carry)).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("text").alias("text"), size.alias("size")
+    ).select("doc", "source", "size", _draw(F.col("id"), F.col("size"), F.col("text")).alias("u"), F.monotonically_increasing_id().alias("row"))
     sized = table(sized, "sized")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -122,13 +164,13 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) ->
     size_class = F.lit(0)
     for k in CLASSES:
         size_class = size_class + (F.col("size") * k <= F.col("rest")).cast("int")
-    u = _draw(F.col("doc_id"), F.col("size"))
     odds = F.when(F.expr("part > 0 and size > 0"), F.col("part") / (1 - F.col("part")) * F.sqrt(F.col("size")))
-    pareto = u / (1 - u) / odds
+    pareto = F.col("u") / (1 - F.col("u")) / odds
+    rank = pareto / (1 + pareto)
     ranked = (
-        sized.join(plan, by_source)
+        sized.select("source", "size", "u", "row").join(plan, by_source)
         .where("size > 0 and part > 0")
-        .select("s", "size", size_class.alias("class"), (pareto / (1 + pareto)).alias("rank"), F.col("part"))
+        .select("s", "size", size_class.alias("class"), rank.alias("rank"), F.col("part"), "row")
     )
     ranked = table(ranked, "ranked")
     owed = plan.select("s", F.lit(0.0).alias("owed"))
@@ -141,7 +183,11 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) ->
         )
         want = table(want, "want")
         cut = table(_cut(own.select("s", "rank", "size"), want), "cut")
-        cuts.append(cut.select(F.col("s").alias("cs"), F.lit(c).alias("cc"), "top"))
+        last = cut.withColumn("until", F.lit(MOST))
+        if not cut.where("ties < of").isEmpty():  # a plan of its own, seldom needed
+            until = _last_tied(own.select("s", "rank", "row"), cut).withColumnRenamed("s", "us")
+            last = table(cut.join(until, F.col("s").eqNullSafe(F.col("us")), "left").withColumn("until", F.coalesce("until", F.lit(MOST))), "last")
+        cuts.append(last.select(F.col("s").alias("cs"), F.lit(c).alias("cc"), F.struct("top", "until").alias("top")))
         owed = want.alias("w").join(cut.alias("c"), F.col("w.s").eqNullSafe(F.col("c.s"))).select(
             F.col("w.s").alias("s"), (F.col("w.words") - F.col("c.got")).alias("owed")
         )
@@ -151,30 +197,21 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) ->
     tops = tops.groupBy("cs").agg(*[F.max(F.when(F.col("cc") == c, F.col("top"))).alias(f"top{c}") for c in range(len(cuts))])
     plan = table(plan.join(tops, F.col("s").eqNullSafe(F.col("cs"))).drop("cs"), "plan")
     top = F.element_at(F.array(*[f"top{c}" for c in range(len(cuts))]), size_class + 1)
-    extra = (F.col("size") > 0) & (F.col("part") > 0) & (pareto / (1 + pareto) <= top)
+    extra = (F.col("size") > 0) & (F.col("part") > 0) & ((rank < top["top"]) | ((rank == top["top"]) & (F.col("row") <= top["until"])))
     copies = F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
-    return sized.join(plan, by_source).select(
-        "doc_id", "source", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return sized.join(plan, by_source).select("doc", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    n = (
-        mixed.where("copies > 0")
-        .groupBy("doc_id", "source", "text_key")
-        .agg(F.max("copies").cast("int").alias("copies"))
-        .select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_key").alias("m_key"), F.col("copies").alias("m_copies"))
-    )
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(
-        n, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (key == F.col("m_key"))
-    )
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("m_copies"))).alias("_copy")).drop("_copy")
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The rows that were mixed, each as often as the mix takes it."""
+    fields = mixed.schema["doc"].dataType.names
+    rows = mixed.where("copies > 0").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return rows.select(*[F.col("doc").getField(f).alias(f) for f in fields])
 
 
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    m = mix(documents(spark, sf_dir), ["doc_id", "source"])
+    return m.select("doc.doc_id", "size", "source_size", "target", "taken", "doc.source", "copies")
 
 
 QUERIES = {"op10_pareto_mixing": op10_pareto_mixing}
@@ -183,7 +220,7 @@ QUERIES = {"op10_pareto_mixing": op10_pareto_mixing}
 def _oracle() -> str:
     """The same mix with every source ordered whole."""
     sql = rf"""
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
  s0 AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
  s1 AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS w_all,
         coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0) AS cap_before, coalesce(sum(w) OVER b, 0) AS w_before
@@ -192,7 +229,7 @@ WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce
  s3 AS (SELECT source, source_size, CASE WHEN "full" THEN cap ELSE least(cap, (total - coalesce(sum(CASE WHEN "full" THEN cap END) OVER (), 0)) * w / sum(CASE WHEN NOT "full" THEN w END) OVER ()) END AS target FROM s2),
  plan AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS part, part * source_size AS rest FROM s3),
  j AS (SELECT d.*, p.source_size, target, whole, part, ((size * {CLASSES[0]} <= rest)::INT + (size * {CLASSES[1]} <= rest)::INT) AS class,
-       (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+       (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
        FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
  q AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN u / (1 - u) / (part / (1 - part) * sqrt(size)) END AS pareto FROM j),
  k AS (SELECT *, sum(size) OVER (PARTITION BY source, class ORDER BY pareto / (1 + pareto) ROWS UNBOUNDED PRECEDING) AS cum FROM q WHERE part > 0 AND size > 0),

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import Row
+
 from data import SCHEMA, awkward_rows, frame
 from skein.llm.mixing import mix, repeated
 
@@ -25,6 +27,7 @@ def check(rows, got):
     sizes = Counter()
     for _, t, _, s, _ in rows:
         sizes[s] += len(WORD.findall(t or ""))
+    got = [Row(**r.doc.asDict(), **{k: v for k, v in r.asDict().items() if k != "doc"}) for r in got]
     want = brute_targets(sizes)
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
     took, largest = Counter(), Counter()
@@ -52,11 +55,20 @@ def test_many_documents_come_within_a_percent_and_reruns_agree(spark):
     assert Counter(map(tuple, a)) == Counter(map(tuple, mix(frame(spark, rows).repartition(5)).collect()))
 
 
+def test_ties_do_not_break_the_target(spark):
+    for own in (None, 7):
+        rows = [(own, "ten words of text that are all the same here", "en", "a", 1) for _ in range(1000)]
+        rows += [(10_000 + i, "w " * 10, "en", "b", 1) for i in range(1000)]
+        took, want = check(rows, mix(frame(spark, rows).repartition(7)).collect())
+        assert all(abs(took[s] - want[s]) <= 10 for s in took)
+
+
 def test_repeated_rows_and_empty(spark):
-    docs = frame(spark).selectExpr("*", "1 as copies", "2 as s", "3 as target")
+    docs = frame(spark).selectExpr("*", "1 as copies", "2 as s", "3 as target", "4 as doc", "5 as size", "6 as row", "7 as u")
     m = mix(docs)
-    rows = repeated(docs, m)
-    assert rows.columns == docs.columns
+    rows = repeated(m)
+    assert rows.columns == docs.columns and rows.dtypes == docs.dtypes
     want = sum(r.copies for r in m.collect())
     assert rows.count() == want
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert repeated(mix(spark.createDataFrame([], SCHEMA))).count() == 0
