@@ -4,22 +4,26 @@ Every line with a word is normalised and hashed.  For each host (``source``)
 the engine counts the distinct documents that hold a line, removes lines above
 the limits, and rejects documents of which too little is left.
 
-Copies are the business of near-duplicate removal, so a family of copies does
-not make its own lines frequent: each document gets a family sketch (its smallest
-and largest 3-word-window hash, which near copies share with a probability near
-the square of their similarity), a line's largest family counts as one
-document, and the members of a family that makes up most of a line's documents
-keep the line.  Other documents are judged without regard to its size.
+A document is a doc_id (rows without one are documents by their text), so
+repeated rows count once.  ``copies_once`` changes what counts as distinct, for
+use before near-duplicate removal, where a group of copies would else make its
+own lines frequent and lose all its members: each document gets a family sketch
+(its smallest and largest 3-word-window hash, which near copies share with a
+probability near the square of their similarity), a line's largest family counts
+as one document, and the members of a family that makes up most of a line's
+documents keep the line.  Other documents are judged without regard to its size.
 
 Only DataFrame functions are used.  The documents are read once; what later
 steps need (a few numbers and the line hashes) is written to the shared folder.
-Frequent lines are counted in two steps, by (host, line, family) and then by
-(host, line), both with map-side partial sums, so a line that a third of all
-documents hold costs each task one row.
+Frequent lines are counted in two steps with map-side partial sums, so a line
+that a third of all documents hold costs each task one row.  Rows of a repeated
+doc_id, found by a count over ids alone, are made distinct before they count.
 
 Defined results: a null or empty text has no words and fails the base rule; a
-null host is a host of its own; repeated rows get equal verdicts; other columns
-of the input are ignored.
+null host is a host of its own; repeated rows get equal verdicts; a document at
+a limit (exactly ``LINE_DOCS`` documents, exactly ``DEPLETED_SHARE`` of its words)
+is not above it; other columns of the input are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line goes if more than this many distinct documents of its host hold it ...
 LINE_DOCS = 5
-#: ... its largest family counted as one; that family keeps the line if less than this share of them lies outside it.
+#: With ``copies_once`` the largest family is one of them and keeps the line if less than this share of them lies outside it.
 OUTSIDE_SHARE = 0.4
 #: A document is depleted if more than this share of its words stands on removed lines.
 DEPLETED_SHARE = 0.5
@@ -109,8 +113,9 @@ def _measures(text: Column) -> Column:
 def line_quality(
     docs: DataFrame,
     line_docs: int = LINE_DOCS,
-    outside_share: float = OUTSIDE_SHARE,
     depleted_share: float = DEPLETED_SHARE,
+    copies_once: bool = False,
+    outside_share: float = OUTSIDE_SHARE,
 ) -> DataFrame:
     """Base counts and verdict per row of ``docs`` (doc_id, source, text).
 
@@ -130,21 +135,32 @@ def line_quality(
     )
     m = table(m, "quality")
 
-    held = m.select("host", "family", F.explode(F.array_distinct("lines.h")).alias("h"))
-    by_family = held.groupBy("host", "h", "family").agg(F.count(F.lit(1)).alias("n"))
-    outside = F.col("docs") - F.col("top") + 1
-    frequent = (
-        by_family.groupBy("host", "h")
-        .agg(F.sum("n").alias("docs"), F.max(F.struct("n", "family")).alias("largest"))
-        .select("host", "h", "docs", F.col("largest.n").alias("top"), F.col("largest.family").alias("family"))
-        .where(outside > line_docs)
-        .select(
-            F.col("host").alias("f_host"),
-            F.col("h").alias("f_h"),
-            F.when(outside < outside_share * F.col("docs"), F.col("family")).alias("f_exempt"),
-        )
+    who = F.when(F.col("doc_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("doc_id").cast("string").alias("key"))).otherwise(
+        F.struct(F.lit(1).alias("kind"), F.col("text_key").cast("string").alias("key"))
+    )
+    m_who = m.select("host", "family", "lines", who.alias("who"))
+    repeats = m_who.groupBy("host", "who").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("one_family")).where("n > 1")
+    repeats = table(repeats.select(F.col("host").alias("r_host"), F.col("who").alias("r_who"), "one_family"), "repeats")
+    held = m_who.join(repeats, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("who") == F.col("r_who")), "left").select(
+        "host", "r_who", F.coalesce("one_family", "family").alias("family"), F.explode(F.array_distinct("lines.h")).alias("h")
     )
-    frequent = table(frequent, "frequent")
+    group = ["host", "h", "family"] if copies_once else ["host", "h"]
+    once = held.where("r_who is null").groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    again = held.where("r_who is not null").select(*group, "r_who").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    counted = once.unionAll(again)
+    if copies_once:
+        by_family = counted.groupBy(*group).agg(F.sum("n").alias("n"))
+        outside = F.col("docs") - F.col("top") + 1
+        frequent = (
+            by_family.groupBy("host", "h")
+            .agg(F.sum("n").alias("docs"), F.max(F.struct("n", "family")).alias("largest"))
+            .select("host", "h", "docs", F.col("largest.n").alias("top"), F.col("largest.family").alias("family"))
+            .where(outside > line_docs)
+            .withColumn("f_exempt", F.when(outside < outside_share * F.col("docs"), F.col("family")))
+        )
+    else:
+        frequent = counted.groupBy("host", "h").agg(F.sum("n").alias("docs")).where(F.col("docs") > line_docs).withColumn("f_exempt", F.lit(None).cast("long"))
+    frequent = table(frequent.select(F.col("host").alias("f_host"), F.col("h").alias("f_h"), "f_exempt"), "frequent")
 
     hit = (
         m.select("doc_id", "text_key", "host", "family", F.explode("lines").alias("l"))
@@ -214,4 +230,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, source, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS ws FROM d),
+ g AS (SELECT doc_id, p, concat_ws(' ', ws[p], ws[p + 1], ws[p + 2]) AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+ twice AS (SELECT doc_id, x FROM g GROUP BY doc_id, x HAVING count(*) > 1),
+ marked AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM g JOIN twice USING (doc_id, x), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+ l AS (SELECT doc_id, source, line FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t-\r]')),
+ n AS (SELECT doc_id, source, line, regexp_replace(lower(trim(regexp_replace(line, '[ \t-\r]+', ' ', 'g'))), '[0-9]', '0', 'g') AS norm FROM l),
+ frequent AS (SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT doc_id) > {LINE_DOCS}),
+ hit AS (SELECT n.doc_id, sum(len(string_split(n.norm, ' '))) AS words FROM n JOIN frequent f ON n.norm = f.norm AND n.source IS NOT DISTINCT FROM f.source GROUP BY n.doc_id),
+ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS k FROM l GROUP BY doc_id),
+ c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(k, 0)::BIGINT AS n_dup_lines, coalesce(marked.n, 0)::BIGINT AS n_repeat_words, coalesce(words, 0)::BIGINT AS removed_words
+       FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND removed_words <= {DEPLETED_SHARE} * n_words AS kept FROM c""",
+}

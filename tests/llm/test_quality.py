@@ -34,7 +34,7 @@ def test_shared_notice_goes_and_copies_stay(spark):
     rows += [(100 + i, "\n".join([notice] * 4) + "\n" + own[20], "en", "host", 1) for i in range(1)]
     rows += [(200 + i, own[25], "en", "host", 1) for i in range(20)]
     docs = frame(spark, rows)
-    v = line_quality(docs)
+    v = line_quality(docs, copies_once=True)
     got = {r.doc_id: r for r in v.collect()}
     assert all(got[i].kept and got[i].removed_words == 16 for i in range(12))
     assert not got[100].kept
@@ -49,12 +49,41 @@ def test_copies_of_one_page_do_not_shield_a_notice_on_others(spark):
     own = [" ".join(words[i * 60 : i * 60 + 60]) for i in range(16)]
     rows = [(i, notice + "\n" + own[i], "en", "host", 1) for i in range(12)]
     rows += [(100 + i, notice + "\n" + own[15], "en", "host", 1) for i in range(40)]
-    got = {r.doc_id: r for r in line_quality(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in line_quality(frame(spark, rows), copies_once=True).collect()}
     assert all(got[i].removed_words == 16 for i in range(12))
     assert all(got[100 + i].removed_words == 0 and got[100 + i].kept for i in range(40))
 
 
+def brute_removed(rows, line_docs=5):
+    """Words on lines that more than ``line_docs`` documents of a host hold, per row."""
+    norm = lambda x: re.sub("[0-9]", "0", " ".join(WORD.findall(x)).lower())
+    lines = [[norm(x) for x in (r[1] or "").split("\n") if WORD.search(x)] for r in rows]
+    holders = {}
+    for r, own in zip(rows, lines):
+        for x in own:
+            holders.setdefault((r[3], x), set()).add(r[0] if r[0] is not None else r[1])
+    return [sum(len(x.split(" ")) for x in own if len(holders[r[3], x]) > line_docs) for r, own in zip(rows, lines)]
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = awkward_rows()
+    long_text = "\n".join("line %d of the long text" % (i % 9000) for i in range(40_000))
+    rows += [(500 + i, "a line of many\n" + rows[i % 9][1], "en", "h", 1) for i in range(9)] + [(700 + i, long_text, "en", "h", 1) for i in range(7)]
+    rows += [(None, "a line of many\nwithout an id", "en", "h", 1)] * 3
+    removed = brute_removed(rows)
+    want = Counter((r[0], n, not (b := brute(r[1]))[5] and n <= 0.5 * b[0]) for r, n in zip(rows, removed))
+    assert Counter((r.doc_id, r.removed_words, r.kept) for r in line_quality(frame(spark, rows)).collect()) == want
+
+
+def test_repeated_rows_count_as_one_document(spark):
+    rows = [(i, "this line is held by four documents\n" + "w%d " % i * 60, "en", "h", 1) for i in range(4)]
+    for copies_once in (False, True):
+        assert not any(r.removed_words for r in line_quality(frame(spark, rows * 3), copies_once=copies_once).collect())
+    rows += [(9 + i, "this line is held by four documents\n" + "v%d " % i * 60, "en", "h", 1) for i in range(2)]
+    assert {r.removed_words for r in line_quality(frame(spark, rows * 2)).collect()} == {7}
+
+
 def test_empty_and_extra_columns(spark):
     assert line_quality(spark.createDataFrame([], SCHEMA)).count() == 0
-    docs = frame(spark).selectExpr("*", "1 as h", "2 as host", "3 as f_h", "4 as n", "5 as m")
+    docs = frame(spark).selectExpr("*", "1 as h", "2 as host", "3 as f_h", "4 as n", "5 as m", "6 as who", "7 as lines")
     assert line_quality(docs).count() == len(awkward_rows())
