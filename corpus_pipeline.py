@@ -4,11 +4,18 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it a
 Parquet to the shared folder and reads it again as the next stage's ``docs``.  All
 stages but the last return the columns of ``documents``.
 
-1. quality rules: documents that fail go; frequent lines are cut from the rest;
+1. quality rules: documents that fail go; frequent lines are cut from the rest.  A
+   family of copies counts once here (``copies_once``): near duplicates go in the
+   next stage only, and a group of copies must not lose all its members before;
 2. SimHash near-duplicates: one document of each component stays;
 3. secret scans: secrets are replaced in the text;
 4. mixing: documents are taken as often as their source's target asks;
 5. byte-level BPE: token counts and digests of the ids and of their decoding.
+
+Defined results: an empty table passes through as one; null and blank texts fail
+the quality rules; null ids and hosts are kept as they are; repeated rows are
+copies of which one stays; other columns, whatever their names, are carried to
+the fourth stage and end there.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _as_documents(quality.without_frequent_lines(docs, quality.line_quality(docs)), docs)
+    return _as_documents(quality.without_frequent_lines(docs, quality.line_quality(docs, copies_once=True)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
