@@ -66,3 +66,22 @@ def test_stages_match_brute_force(spark, tmp_path):
         (r.doc_id, len(ids := EXACT.encode_ordinary(r.text)), digest(",".join(map(str, ids))), digest(r.text)) for r in mixed
     )
     assert Counter(map(tuple, p.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, encoded))
+
+
+def test_empty_table_and_extra_columns(spark, tmp_path):
+    from data import SCHEMA
+
+    names = ["size", "source_size", "doc", "h", "host", "text_key", "fp", "kind", "u", "row", "copies", "kept", "n"]
+    rows = awkward_rows()[:16]
+    more = [f"{i} as {c}" for i, c in enumerate(names)]
+    for given in (frame(spark, rows), spark.createDataFrame([], SCHEMA)):
+        docs = given.selectExpr("*", *more)
+        for n, (name, stage) in enumerate(p.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            path = str(tmp_path / f"{given.count()}-{n}")
+            out.write.parquet(path)
+            if n < 4:
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            docs = spark.read.schema(out.schema).parquet(path)
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert (docs.count() > 0) == (given.count() > 0)
