@@ -12,13 +12,20 @@ combination, key and population count, are cut into tiles; tiles are compared
 by numpy exclusive-or and bit counts, and a pair of tiles is skipped when the
 population counts of the key they share differ by more than the radius.  A tile
 pair emits at most one edge per row (its local components), never all pairs.
-A key with more than ``CELL_ROWS`` fingerprints is split into parts, and each
-pair of parts becomes a cell of its own, so no key has to fit one task.
+A key with more than ``CELL_ROWS`` fingerprints is split by population count into
+bands of ``RADIUS + 1``, of which only neighbours can hold a pair, and a band of
+too many rows by hash; each pair of parts that may hold a pair becomes a cell of
+its own, so no key has to fit one task.
+
+A fingerprint goes by the smallest row that has it (doc_id, nulls last, then the
+hash of the text), so the smallest node of a component is its answer and nothing
+is joined by component.
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; fewer than three words are one shingle; repeated rows share a result; a
 null doc_id gets a component but never names one (null if all its members are
-null); other columns are ignored.
+null); of equal doc_ids the one with the smaller text hash stands for the group;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,8 +92,12 @@ def _block_keys(fp: Column, radius: int, pick: int) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)])
 
 
-def _local_edges(fp: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the symmetric adjacency: (row, lowest row)."""
+#: What a fingerprint goes by; the order of its fields is the order of nodes.
+NODE = "struct<none:boolean,doc_id:long,text_key:long,fp:long>"
+
+
+def _local_edges(fp: np.ndarray, at: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the symmetric adjacency: (row, its centre), as places in the tile's rows."""
     lab = np.arange(len(fp))
     big = len(fp)
     while True:
@@ -96,18 +107,20 @@ def _local_edges(fp: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         lab = new
     i = np.nonzero(lab != np.arange(len(fp)))[0]
-    return fp[i], fp[lab[i]]
+    return at[i], at[lab[i]]
 
 
-def _tile_edges(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Edges inside tile ``a``, or between tiles ``a`` and ``b``."""
+def _tile_edges(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Edges among the rows at ``a`` of ``fp``, or between those at ``a`` and those at ``b``."""
+    x = fp[a]
     if b is None:
-        adj = np.bitwise_count(a[:, None] ^ a[None, :]) <= radius
+        adj = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
         rows = np.nonzero(adj.sum(axis=1) > 1)[0]
         if not len(rows):
             return None
-        return _local_edges(a[rows], adj[np.ix_(rows, rows)])
-    cross = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+        return _local_edges(x[rows], a[rows], adj[np.ix_(rows, rows)])
+    y = fp[b]
+    cross = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
     ra, rb = np.nonzero(cross.any(axis=1))[0], np.nonzero(cross.any(axis=0))[0]
     if not len(ra):
         return None
@@ -115,62 +128,85 @@ def _tile_edges(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     adj = np.zeros((len(ra) + len(rb),) * 2, bool)
     adj[: len(ra), len(ra) :] = sub
     adj[len(ra) :, : len(ra)] = sub.T
-    return _local_edges(np.concatenate([a[ra], b[rb]]), adj)
+    return _local_edges(np.concatenate([x[ra], y[rb]]), np.concatenate([a[ra], b[rb]]), adj)
 
 
 def _compare_tiles(radius: int, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []  # (key, largest population count, rows) of earlier tiles
-        cells = rows = np.zeros(0, np.int64)
-
-        def emit(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            pop = np.bitwise_count(fp)
-            first, last = cell[0], cell[-1]
-            front = fp[cell == first]
-            low = int(pop[: len(front)].min())
-            found = [_tile_edges(fp, None, radius)]
-            held = [x for x in held if x[0] == first]
-            found += [_tile_edges(old, front, radius) for _, high, old in held if low - high <= radius]
-            back = fp[cell == last]
-            if last != first:
-                held = []
-            held = [x for x in held if int(pop[-1]) - x[1] <= radius] + [(last, int(pop[-1]), back)]
-            for e in found:
-                if e is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(e[0].view(np.int64)), pa.array(e[1].view(np.int64))], ["src", "dst"])
+        old: list[tuple[int, pa.RecordBatch]] = []  # (largest population count, rows of the open cell) of earlier tiles
+        pending: pa.Table | None = None
+
+        def edges(rows: pa.Table, a: np.ndarray, b: np.ndarray | None, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = _tile_edges(fp, a, b, radius)
+            if found is not None:
+                ends = [rows.take(pa.array(f)).column("node").combine_chunks() for f in found]
+                ends = [e.chunk(0) if isinstance(e, pa.ChunkedArray) else e for e in ends]
+                yield pa.RecordBatch.from_arrays(ends, ["src", "dst"])
+
+        def emit(now: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal old
+            n = now.num_rows
+            rows = pa.Table.from_batches([now])
+            cell, fp = now.column("cell").to_numpy(), now.column("fp").to_numpy().view(np.uint64)
+            # All rows of the tile meet: a pair within the radius is one whatever cells its rows come from.
+            yield from edges(rows, np.arange(n), None, fp)
+            cuts = np.concatenate([[0], np.nonzero(cell[1:] != cell[:-1])[0] + 1, [n]])
+            if old and old[0][1].column("cell")[0].as_py() != cell[0]:
+                old = []
+            front = cuts[1]
+            low = int(np.bitwise_count(fp[:1])[0])  # rows of a cell come by population count
+            for high, before in old:
+                if low - high <= radius:
+                    both = pa.Table.from_batches([before, now.slice(0, front)])
+                    k = before.num_rows
+                    every = both.column("fp").to_numpy().view(np.uint64)
+                    yield from edges(both, np.arange(k), np.arange(k, k + front), every)
+            if cell[-1] != cell[0]:
+                old = []
+            back = now.slice(cuts[-2])
+            last = np.bitwise_count(fp[-1:])[0]
+            old = [x for x in old if int(last) - x[0] <= radius] + [(int(last), back)]
 
         for b in batches:
-            cells = np.concatenate([cells, b.column("cell").to_numpy()])
-            rows = np.concatenate([rows, b.column("fp").to_numpy()])
-            whole = len(rows) - len(rows) % tile
+            pending = pa.Table.from_batches([b]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([b])])
+            whole = pending.num_rows - pending.num_rows % tile
             for a in range(0, whole, tile):
-                yield from emit(cells[a : a + tile], rows[a : a + tile].view(np.uint64))
-            cells, rows = cells[whole:], rows[whole:]
-        if len(rows):
-            yield from emit(cells, rows.view(np.uint64))
+                yield from emit(pending.slice(a, tile).combine_chunks().to_batches()[0])
+            pending = pending.slice(whole)
+        if pending is not None and pending.num_rows:
+            yield from emit(pending.combine_chunks().to_batches()[0])
 
     return run
 
 
 def fingerprint_edges(distinct_fp: DataFrame, radius: int = RADIUS, pick: int = PICK, tile: int = TILE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (src, dst) whose components are those of all pairs within ``radius``."""
-    dealt = distinct_fp.select("fp", F.explode(_block_keys(F.col("fp"), radius, pick)).alias("k")).select("fp", "k.t", "k.key")
-    large = (
-        dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
-        .select(F.col("t").alias("lt"), F.col("key").alias("lkey"), F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    """Edges (src, dst) of nodes whose components are those of all pairs within ``radius``; from rows of (fp, node)."""
+    dealt = distinct_fp.select("fp", "node", F.explode(_block_keys(F.col("fp"), radius, pick)).alias("k")).select("fp", "node", "k.t", "k.key")
+    band = F.floor(F.bit_count("fp") / (radius + 1)).cast("int")
+    heavy = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select(F.col("t").alias("ht"), F.col("key").alias("hkey"))
+    # A heavy key has a row of at most 64 / (radius + 1) + 1 bands with the number of parts of each.
+    parts = (
+        dealt.join(heavy, (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hkey")))
+        .groupBy("t", "key", band.alias("band")).agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
+        .groupBy(F.col("t").alias("lt"), F.col("key").alias("lkey")).agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
     )
-    placed = dealt.join(large, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lkey")), "left")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    cells = placed.select("fp", "t", "key", own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).select(
-        "fp", F.xxhash64("t", "key", F.least("p", "o"), F.greatest("p", "o")).alias("cell"), F.bit_count("fp").alias("pop")
+    placed = dealt.join(parts, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lkey")), "left").withColumn("band", band)
+    name = lambda b, p: b.cast("long") * (1 << 40) + p
+    own = name(F.col("band"), F.pmod(F.xxhash64("fp"), F.coalesce(F.col("parts")[F.col("band")], F.lit(1))))
+    near = F.flatten(
+        F.transform(
+            F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("parts", b)),
+            lambda b: F.transform(F.sequence(F.lit(0), F.col("parts")[b] - 1), lambda p: name(b, p)),
+        )
     )
+    whole = F.array(F.lit(-1).cast("long"))
+    cells = placed.select("fp", "node", "t", "key", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(own).alias("p"), F.explode(F.when(F.col("parts").isNull(), whole).otherwise(near)).alias("o"))
+    cells = cells.select("fp", "node", F.xxhash64("t", "key", F.least("p", "o"), F.greatest("p", "o")).alias("cell"), F.bit_count("fp").alias("pop"))
     return (
         cells.repartition("cell")
         .sortWithinPartitions("cell", "pop", "fp")
-        .select("cell", "fp")
-        .mapInArrow(_compare_tiles(radius, tile), "src long, dst long")
+        .select("cell", "fp", "node")
+        .mapInArrow(_compare_tiles(radius, tile), f"src {NODE}, dst {NODE}")
     )
 
 
@@ -181,17 +217,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id and the text hash ``rep_key`` stands for the component.
     """
     fps = table(fingerprints(docs), "fingerprints")
-    distinct = table(
-        fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")),
-        "distinct",
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    distinct = fps.groupBy("fp").agg(least.alias("b"))
+    distinct = table(distinct.select("fp", F.struct("b.none", "b.doc_id", "b.text_key", "fp").alias("node")), "distinct")
+    comps = connected_components(fingerprint_edges(distinct, radius)).select(F.col("node.fp").alias("c_fp"), "component")
+    named = distinct.join(comps, F.col("fp") == F.col("c_fp"), "left").select(
+        F.col("fp").alias("n_fp"), F.coalesce("component", "node").alias("top")
     )
-    roots = connected_components(fingerprint_edges(distinct, radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), "best"
+    return fps.join(named, fps.fp == F.col("n_fp")).select(
+        "doc_id", "text_key", "fp", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("rep_key")
     )
-    best = rooted.groupBy("root").agg(F.min("best").alias("top"))
-    named = rooted.select("fp", "root").join(best, "root").select(F.col("fp").alias("c_fp"), F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("rep_key"))
-    return fps.join(named, fps.fp == F.col("c_fp")).select("doc_id", "text_key", "fp", "component_id", "rep_key")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

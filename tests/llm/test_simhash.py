@@ -57,7 +57,8 @@ def test_edges_find_every_pair_also_in_split_cells(spark):
     hub = rnd.getrandbits(64)
     fps |= {hub ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)}
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f, (False, i, 0, f)) for i, f in enumerate(signed)], f"fp long, node {simhash.NODE}")
     names, at = brute_components(list(enumerate(fps)))
     want = {f: names[a] for f, a in zip(fps, at)}
     for cell_rows, tile in ((50_000, 512), (60, 16)):
@@ -70,7 +71,7 @@ def test_edges_find_every_pair_also_in_split_cells(spark):
 
         edges = simhash.fingerprint_edges(df, tile=tile, cell_rows=cell_rows).collect()
         for e in edges:
-            a, b = find(e.src % 2**64), find(e.dst % 2**64)
+            a, b = find(e.src.fp % 2**64), find(e.dst.fp % 2**64)
             parent[max(a, b)] = min(a, b)
         groups = {}
         for f in fps:
@@ -83,11 +84,20 @@ def test_edges_find_every_pair_also_in_split_cells(spark):
 def test_tiles_of_one_key_apart_in_population_are_skipped():
     run = simhash._compare_tiles(3, 4)
     fp = np.array([1, 3, 7, 15] + [2**40 - 1 - (1 << i) for i in range(4)], np.uint64).view(np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(8, np.int64)), pa.array(fp)], ["cell", "fp"])
-    edges = [(a, b) for out in run(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    node = pa.array([{"none": False, "doc_id": i, "text_key": 0, "fp": int(f)} for i, f in enumerate(fp)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(8, np.int64)), pa.array(fp), node], ["cell", "fp", "node"])
+    edges = [(a["fp"], b["fp"]) for out in run(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert {frozenset(e) for e in edges} <= {frozenset((int(a), int(b))) for a in fp for b in fp if bin(int(a) ^ int(b)).count("1") <= 3 and a != b}
 
 
+def test_one_doc_id_with_two_texts_does_not_join_their_groups(spark):
+    rnd = random.Random(5)
+    a, b = (" ".join(f"{c}{rnd.randrange(999)}" for _ in range(200)) for c in "xy")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, a, "en", "s", 1), (9, b, "en", "s", 1), (None, b, "en", "s", 1)]
+    got = sorted((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(-1, 5), (3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_one_of_each_and_empty(spark):
     docs = frame(spark).selectExpr("*", "1 as fp", "2 as node")
     kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
