@@ -11,13 +11,19 @@ bucket with a chance of about 0.998; tests measure recall against brute force.
 Within a bucket all pairs are verified by their cosine in double precision, as
 matrix products over tiles.  A pair that meets in several buckets counts once,
 in the smallest of its common ones, so no list of pairs is ever made: a task
-returns link counts and one edge per row.  A bucket with more than ``CELL_ROWS``
-classes is split into parts and each pair of parts becomes a cell of its own.
+returns link counts and one edge per row.  Rows travel with their vector in its
+own precision and those of their keys that are smaller than the bucket's.  A
+bucket with more than ``CELL_ROWS`` classes is split into parts and each pair of
+parts becomes a cell of its own.  Work per row grows with the links per row, as
+every link is verified; nothing else does.
+
+A class goes by its smallest vec_id (nulls last), so the smallest node of a
+component is its answer and nothing is joined by component.
 
 Defined results: a row whose label is null, or whose vector is null, empty, zero
 or has null or non-finite components, links with nothing and stands alone; equal
 rows link with each other; a null vec_id takes part but never names a
-component; other columns are ignored.
+component; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +42,11 @@ from skein.plans.storage import table
 COSINE = 0.93
 TABLES = 5
 HASHES = 2
-CELL_ROWS = 1500
+CELL_ROWS = 4000
 TILE_ROWS = 512
 SEED = 11
+#: What a class goes by; the order of its fields is the order of nodes.
+NODE = "struct<none:boolean,vec_id:long,h1:long,h2:long>"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -75,25 +84,32 @@ def bucket_keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed:
     return np.stack(keys, axis=1)
 
 
-def _unit(vectors: list[list[float]]) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _by_width(lists) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows as a matrix) of the vectors of each width; ``lists`` is a list column without nulls."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    width = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = []
+    for d in np.unique(width):
+        at = np.nonzero(width == d)[0]
+        own = lists if len(at) == len(width) else lists.take(pa.array(at))
+        out.append((at, own.flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(d))))
+    return out
+
+
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        dims = b.column("dims").to_numpy(zero_copy_only=False)
-        vectors = b.column("embedding").to_pylist()
-        out: list = [None] * b.num_rows
-        for d in set(dims.tolist()):
-            at = np.nonzero(dims == d)[0]
-            for i, row in zip(at, bucket_keys(_unit([vectors[i] for i in at]))):
-                out[i] = row.tolist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column("cid"), b.column("grp"), b.column("copies"), b.column("embedding"), pa.array(out, pa.list_(pa.int64()))],
-            ["cid", "grp", "copies", "embedding", "keys"],
-        )
+        keys = np.zeros((b.num_rows, TABLES * (1 + HASHES)), np.int64)
+        for at, x in _by_width(b.column("embedding")):
+            keys[at] = bucket_keys(_unit(x))
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "grp", "copies", "embedding")], lists], ["node", "grp", "copies", "embedding", "keys"])
 
 
 def _components(adj: np.ndarray) -> np.ndarray:
@@ -107,44 +123,60 @@ def _components(adj: np.ndarray) -> np.ndarray:
         lab = new
 
 
+def _met_before(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs of ``n`` rows have a key in common, from (row, key) pairs."""
+    met = np.zeros((n, n), bool)
+    by = np.argsort(keys, kind="stable")
+    rows, keys = rows[by], keys[by]
+    head = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(keys)))
+    few = np.repeat(size, size) <= 8
+    for step in range(1, 8):
+        i = np.nonzero(few[:-step] & (keys[:-step] == keys[step:]))[0]
+        met[rows[i], rows[i + step]] = met[rows[i + step], rows[i]] = True
+    for a, k in zip(head[size > 8], size[size > 8]):
+        own = rows[a : a + k]
+        met[own[:, None], own] = True
+    return met
+
+
 def _compare(cosine: float):
-    def links(cell, key, part, own_parts, copies, cid, vectors, keys):
+    def links(t: pa.Table) -> pa.RecordBatch:
         """Link counts and local roots of rows that form whole cells."""
+        number = lambda name: t.column(name).to_numpy()
+        cell, part, copies = number("cell"), number("part"), number("copies").astype(np.float64)
+        own_parts = number("same").astype(bool)
         n = len(cell)
         total, root = np.zeros(n, np.int64), np.arange(n)
-        dims = np.array([len(v) for v in vectors])
-        for d in np.unique(dims):
-            at = np.nonzero(dims == d)[0]
-            x = _unit([vectors[i] for i in at])
+        smaller = t.column("smaller").combine_chunks()
+        held = np.repeat(np.arange(n), pa.compute.list_value_length(smaller).to_numpy(zero_copy_only=False))
+        keys = smaller.flatten().to_numpy(zero_copy_only=False)
+        for at, vectors in _by_width(t.column("embedding")):
+            x, c = _unit(vectors), cell[at]
             close = np.zeros((len(at), len(at)), bool)
             for a in range(0, len(at), TILE_ROWS):
-                close[a : a + TILE_ROWS] = x[a : a + TILE_ROWS] @ x.T >= cosine
-            c = cell[at]
-            close &= c[:, None] == c[None, :]
+                e = min(a + TILE_ROWS, len(at))
+                # Rows come by cell: a tile meets the rows of its own cells only.
+                low, high = np.searchsorted(c, c[a], "left"), np.searchsorted(c, c[e - 1], "right")
+                close[a:e, low:high] = (x[a:e] @ x[low:high].T >= cosine) & (c[a:e, None] == c[None, low:high])
             np.fill_diagonal(close, False)
             rows = np.nonzero(close.any(axis=1))[0]
             if not len(rows):
                 continue
-            root[at[rows]] = at[rows[_components(close[np.ix_(rows, rows)])]]
-            for a in range(0, len(rows), TILE_ROWS):
-                mine = rows[a : a + TILE_ROWS]
-                i, j = np.nonzero(close[mine])
-                i = mine[i]
-                gi, gj = at[i], at[j]
+            close, mine = close[np.ix_(rows, rows)], at[rows]
+            root[mine] = mine[_components(close)]
+            place = np.full(n, -1)
+            place[mine] = np.arange(len(mine))
+            some = place[held] >= 0
+            close &= ~_met_before(place[held[some]], keys[some], len(mine))
+            for a in range(0, len(mine), TILE_ROWS):
+                i = mine[a : a + TILE_ROWS]
                 # A cell of two parts counts pairs across them; a part's own pairs count in its own cell.
-                counts = own_parts[gi] | (part[gi] != part[gj])
-                gi, gj = gi[counts], gj[counts]
-                for s in range(0, len(gi), 20_000):
-                    p, q = gi[s : s + 20_000], gj[s : s + 20_000]
-                    shared = keys[p][:, :, None] == keys[q][:, None, :]
-                    first = np.where(shared.any(axis=2), keys[p], np.iinfo(np.int64).max).min(axis=1)
-                    once = first == key[p]
-                    np.add.at(total, p[once], copies[q[once]])
+                counts = close[a : a + TILE_ROWS] & (own_parts[i, None] | (part[i, None] != part[None, mine]))
+                total[i] += (counts @ copies[mine]).astype(np.int64)
         seen = np.nonzero((total > 0) | (root != np.arange(n)))[0]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([cid[i] for i in seen], pa.string()), pa.array(total[seen]), pa.array([cid[root[i]] for i in seen], pa.string())],
-            ["cid", "links", "root"],
-        )
+        node = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(seen)), pa.array(total[seen]), node.take(pa.array(root[seen]))], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -156,11 +188,7 @@ def _compare(cosine: float):
             now = t if upto is None else t.slice(0, upto)
             held = [] if upto is None else t.slice(upto).combine_chunks().to_batches()
             rows = sum(b.num_rows for b in held)
-            number = lambda name: now.column(name).to_numpy()
-            return links(
-                number("cell"), number("key"), number("part"), now.column("same").to_numpy(zero_copy_only=False).astype(bool),
-                number("copies"), now.column("cid").to_pylist(), now.column("embedding").to_pylist(), np.array(now.column("keys").to_pylist(), np.int64),
-            )
+            return links(now.combine_chunks())
 
         for b in batches:
             for a in range(0, b.num_rows, TILE_ROWS):
@@ -177,57 +205,60 @@ def _compare(cosine: float):
 
 
 def class_of(label: Column, vector: Column) -> Column:
-    """A name for the class of rows equal in label and vector; null where a row may not link."""
+    """(h1, h2): a name for the class of rows equal in label and vector; null where a row may not link."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
-    name = F.concat(F.hex(F.xxhash64(label, vector)), F.lit("-"), F.hex(F.xxhash64(F.lit(SEED), label, vector)))
+    name = F.struct(F.xxhash64(label, vector).alias("h1"), F.xxhash64(F.lit(SEED), label, vector).alias("h2"))
     return F.when(label.isNotNull() & vector.isNotNull() & F.coalesce(fine, F.lit(False)), name)
 
 
 def link_counts(classes: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(cid, links, root): links to other classes, in vectors, and edges, from (cid, label, embedding, copies)."""
-    hashed = classes.select("cid", F.xxhash64("label", F.size("embedding")).alias("grp"), "copies", "embedding", F.size("embedding").alias("dims")).mapInArrow(
-        _hash_batches, "cid string, grp long, copies long, embedding array<double>, keys array<long>"
+    """(node, links, root): links to other classes, in vectors, and edges, from (node, label, embedding, copies)."""
+    kind = classes.schema["embedding"].dataType.simpleString()
+    hashed = classes.select("node", F.xxhash64("label", F.size("embedding")).alias("grp"), "copies", "embedding").mapInArrow(
+        _hash_batches, f"node {NODE}, grp long, copies long, embedding {kind}, keys array<long>"
     )
     # Bucket numbers of one label mean nothing under another.
-    hashed = hashed.withColumn("keys", F.array_distinct(F.transform("keys", lambda k: F.xxhash64("grp", k))))
-    width = TABLES * (1 + HASHES)
-    hashed = hashed.withColumn("keys", F.concat("keys", F.array_repeat(F.xxhash64(F.lit(-1), "cid"), F.lit(width) - F.size("keys"))))
+    hashed = hashed.withColumn("keys", F.array_distinct(F.transform("keys", lambda k: F.xxhash64("grp", k)))).drop("grp")
     hashed = table(hashed, "hashed")
-    dealt = hashed.select("cid", F.explode(F.array_distinct("keys")).alias("key"))
+    dealt = hashed.select("node", F.explode("keys").alias("key"))
     shared = (
         dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         .select(F.col("key").alias("s_key"), F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     )
     placed = dealt.join(shared, dealt.key == F.col("s_key")).select(
-        "cid", "key", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        "node", "key", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     )
     cells = placed.select(
-        F.col("cid").alias("p_cid"), "key", "part", (F.col("part") == F.col("other")).alias("same"),
+        F.col("node").alias("p_node"), "key", "part", (F.col("part") == F.col("other")).alias("same"),
         F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
     )
-    full = cells.join(hashed, cells.p_cid == hashed.cid).select("cell", "key", "part", "same", "cid", "copies", "embedding", "keys")
-    return full.repartition("cell").sortWithinPartitions("cell", "cid").mapInArrow(_compare(cosine), "cid string, links long, root string")
+    smaller = F.filter("keys", lambda k: k < F.col("key")).alias("smaller")
+    full = cells.join(hashed, cells.p_node == hashed.node).select("cell", "part", "same", "node", "copies", "embedding", smaller)
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(cosine), f"node {NODE}, links long, root {NODE}")
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``df`` (vec_id, embedding, label)."""
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    rows = rows.withColumn("cid", class_of(F.col("label"), F.col("embedding")))
-    classes = table(
-        rows.where("cid is not null").groupBy("cid").agg(
-            F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
-        ),
-        "classes",
+    vector = F.col("embedding")
+    if df.schema["embedding"].dataType.simpleString() != "array<float>":  # narrower numbers would lose digits
+        vector = vector.cast("array<double>")
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"), "label")
+    rows = rows.withColumn("class", class_of(F.col("label"), F.col("embedding")))
+    least = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id"))
+    classes = rows.where("class is not null").groupBy("class.h1", "class.h2").agg(
+        least.alias("low"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
+    classes = table(classes.select(F.struct("low.none", "low.vec_id", "h1", "h2").alias("node"), "copies", "label", "embedding"), "classes")
     found = table(link_counts(classes, cosine), "links")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("root <> cid"), "cid", "root")
-    c = classes.select("cid", "low", "copies").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    c = c.select("cid", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("root"))
-    low = c.groupBy("root").agg(F.min("low").alias("component_id"))
-    answer = c.join(low, "root").select(F.col("cid").alias("a_cid"), F.col("n_links").alias("a_links"), F.col("component_id").alias("a_comp"))
-    comp = F.when(F.col("a_cid").isNull(), F.col("vec_id")).otherwise(F.col("a_comp"))
-    return rows.join(answer, F.col("cid") == F.col("a_cid"), "left").select(
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "l_node")
+    comps = connected_components(found.where("root <> node"), "node", "root").withColumnRenamed("node", "c_node")
+    c = classes.select("node", "copies").join(links, F.col("node") == F.col("l_node"), "left").join(comps, F.col("node") == F.col("c_node"), "left")
+    answer = c.select(
+        F.col("node.h1").alias("a_h1"), F.col("node.h2").alias("a_h2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("a_links"),
+        F.coalesce("component", "node")["vec_id"].alias("a_comp"),
+    )
+    comp = F.when(F.col("a_h1").isNull(), F.col("vec_id")).otherwise(F.col("a_comp"))
+    return rows.join(answer, (F.col("class.h1") == F.col("a_h1")) & (F.col("class.h2") == F.col("a_h2")), "left").select(
         "vec_id", F.coalesce("a_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept")
     )
 

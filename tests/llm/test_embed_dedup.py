@@ -48,7 +48,7 @@ def sample(seed=1):
 def test_recall_against_brute_force(spark):
     rows = sample()
     counts, comp, links = brute(rows)
-    got = e.near_duplicates(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as cid", "2 as key", "3 as copies")).collect()
+    got = e.near_duplicates(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as node", "2 as key", "3 as copies", "4 as class", "5 as h1")).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -69,12 +69,19 @@ def test_split_buckets_count_once(spark):
     centre = rng.normal(size=32)
     rows = [(i, [float(a) for a in (centre + rng.normal(size=32) * 0.02).astype(np.float32)], 1) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
-    classes = df.selectExpr("cast(vec_id as string) cid", "label", "cast(embedding as array<double>) embedding", "1L copies")
-    for cell_rows in (1500, 40):
-        got = e.link_counts(classes, cell_rows=cell_rows).groupBy("cid").sum("links").collect()
+    classes = df.selectExpr("named_struct('none', false, 'vec_id', vec_id, 'h1', vec_id, 'h2', 0L) node", "label", "embedding", "1L copies")
+    for cell_rows in (4000, 40):
+        got = e.link_counts(classes, cell_rows=cell_rows).groupBy("node").sum("links").collect()
         assert len(got) == 300 and all(r[1] == 299 for r in got)
 
 
+def test_one_vec_id_with_two_vectors_does_not_join_their_groups(spark):
+    x, y = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    rows = [(5, x, 1), (5, y, 1), (3, x, 1), (9, y, 1), (None, y, 1)]
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in e.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(-1, 2, 5), (3, 1, 3), (5, 1, 3), (5, 2, 5), (9, 2, 5)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     y = e.hadamard(x)
