@@ -10,7 +10,9 @@ such as an insult together with a group name, which additive weights miss.
 
 It is fitted on the driver by AdaGrad on at most ``TRAIN_ROWS`` labelled rows,
 those with the smallest hash of doc_id among the rows whose ``crc32(doc_id) mod
-4`` is not 2; only their hashed terms travel.  Every column that ``LEAST_DOCS`` of
+4`` is not 2 (rows repeated under one doc_id count each, so the bound holds
+whatever is repeated); only their hashed terms travel, four bytes each, and of
+these only the columns that enter the model: counts are made in Spark.  Every column that ``LEAST_DOCS`` of
 these rows hold, and not all of them, enters the model, which ``2**HASH_BITS``
 bounds: a term may tell something only together with another, so none is left
 out for what it tells alone.  Instead weights pay for their size (an absolute
@@ -24,7 +26,9 @@ Labels, language, source and doc_id are never inputs of a score.
 Defined results: a null or blank text scores sigmoid(w0); repeated labels of a
 doc_id count as toxic if one is; null labels are left out; without labels of
 both classes the score is the smoothed share of toxic labels; a null doc_id is
-not held out; other columns are ignored.
+not held out; rows that tie under one doc_id are taken by their terms; other
+columns are ignored; an empty table of documents gives no rows, one of labels the
+share 1/2.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.columns import documents
+from skein.plans.storage import table
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
@@ -190,8 +195,18 @@ def held_out(doc_id: Column) -> Column:
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = b.column("text")
-        terms = [term_columns(text[i].as_py()).tobytes() for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(terms, pa.binary())], ["toxic", "terms"])
+        terms = [term_columns(text[i].as_py()) for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], ["h", "toxic", "terms"])
+
+
+def _only(columns: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("terms")
+            terms = [(x := rows[i].values.to_numpy())[np.isin(x, columns)].tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(terms, pa.binary())], ["toxic", "terms"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Machine:
@@ -201,9 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Ma
         .groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("l_id"), "l_id").limit(most_rows)
     )
-    # At most ``most_rows`` rows of two numbers.
+    # At most ``most_rows`` rows of two numbers; again at most so many after the join, whatever is repeated.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("l_id", "toxic", "text")
-    got = texts.select("toxic", "text").mapInArrow(_terms_of, "toxic int, terms binary").collect()
+    hashed = texts.select(F.xxhash64("l_id").alias("h"), "toxic", "text").mapInArrow(_terms_of, "h long, toxic int, terms array<int>")
+    terms = table(hashed.orderBy("h", F.xxhash64("terms"), "toxic").limit(most_rows), "terms")
+    held = terms.select(F.explode("terms").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    keep = np.sort(np.array([r.c for r in held.select("c").collect()], np.int32))  # at most 2**HASH_BITS
+    got = terms.mapInArrow(_only(keep), "toxic int, terms binary").collect()
     got.sort(key=lambda r: (bytes(r.terms), r.toxic))
     rows = [np.frombuffer(r.terms, np.int32) for r in got]
     return fit(rows, np.array([float(r.toxic > 0) for r in got]))

@@ -68,3 +68,77 @@ def test_awkward_rows_and_reruns(spark):
     got = t.score(docs, t.train(docs, none)).collect()
     assert all(r.score == 0.5 for r in got)
     assert t.score(spark.createDataFrame([], SCHEMA), t.train(docs, labels)).count() == 0
+
+
+def plain_fit(rows, y, factors, epochs):
+    """The same training in loops over documents and pairs of terms."""
+    n = len(y)
+    share = (y.sum() + 0.5) / (n + 1)
+    w0 = np.log(share / (1 - share))
+    held = {}
+    for r in rows:
+        for c in set(r.tolist()):
+            held[c] = held.get(c, 0) + 1
+    columns = sorted(c for c, k in held.items() if t.LEAST_DOCS <= k < n)
+    rng = np.random.default_rng(t.SEED)
+    w = dict.fromkeys(columns, 0.0)
+    start = rng.normal(0, 0.01, (len(columns), factors))
+    v = {c: start[i].copy() for i, c in enumerate(columns)}
+    g0, gw, gv = 1e-8, dict.fromkeys(columns, 1e-8), {c: np.full(factors, 1e-8) for c in columns}
+    rows = [[c for c in r.tolist() if c in w] for r in rows]
+    noise = {c: np.sqrt(held[c]) / n for c in columns}
+
+    def margin(r, pairs):
+        return w0 + sum(w[c] for c in r) + (sum(v[a] @ v[b] for i, a in enumerate(r) for b in r[:i]) if pairs else 0.0)
+
+    for epoch in range(2 * epochs):
+        pairs = epoch >= epochs
+        order = rng.permutation(n)
+        for a in range(0, n, t.BATCH):
+            part = order[a : a + t.BATCH]
+            err = {i: (1 / (1 + np.exp(-margin(rows[i], pairs))) - y[i]) / len(part) for i in part}
+            g = sum(err.values())
+            g0 += g * g
+            w0 -= t.RATE * g / np.sqrt(g0)
+            used = sorted({c for i in part for c in rows[i]})
+            dw = {c: sum(err[i] for i in part if c in rows[i]) for c in used}
+            rate = {}
+            for c in used:
+                gw[c] += dw[c] ** 2
+                rate[c] = t.RATE / np.sqrt(gw[c])
+            move = [sum(rate[c] * dw[c] for c in rows[i]) for i in part]
+            scale = min(1.0, t.W_MOVE / np.sqrt(np.mean(np.square(move)) + 1e-12))
+            for c in used:
+                x = w[c] - scale * rate[c] * dw[c]
+                w[c] = np.sign(x) * max(abs(x) - scale * rate[c] * t.W_PENALTY * noise[c], 0)
+            if not pairs:
+                continue
+            step = {}
+            for c in used:
+                dv = sum(err[i] * (sum(v[o] for o in rows[i]) - v[c]) for i in part if c in rows[i]) + t.V_PENALTY * noise[c] * v[c]
+                gv[c] += dv**2
+                step[c] = t.RATE * dv / np.sqrt(gv[c])
+            both = lambda r, f: sum(f(x) @ f(z) for i, x in enumerate(r) for z in r[:i])
+            move = [both(rows[i], lambda c: v[c]) - both(rows[i], lambda c: v[c] - step[c]) for i in part]
+            scale = min(1.0, t.V_MOVE / np.sqrt(np.mean(np.square(move)) + 1e-12))
+            for c in used:
+                v[c] = v[c] - scale * step[c]
+    return w0, np.array([w[c] for c in columns]), np.array([v[c] for c in columns])
+
+
+def test_fit_equals_plain_loops():
+    rnd = random.Random(9)
+    rows = [np.array(sorted(rnd.sample(range(30), rnd.randint(0, 8))), np.int32) for _ in range(300)]
+    y = np.array([float((3 in r) != (5 in r)) for r in rows])
+    got = t.fit(rows, y, factors=3, epochs=2)
+    w0, w, v = plain_fit(rows, y, 3, 2)
+    assert abs(got.w0 - w0) < 1e-8 and np.allclose(got.w, w, atol=1e-8) and np.allclose(got.v, v, atol=1e-8)
+
+
+def test_repeated_rows_of_one_doc_id_do_not_pass_the_bound(spark, monkeypatch):
+    rows = [(1, f"alder birch word{i % 7}", "en", "s", 1) for i in range(500)] + [(3, "cedar elm", "en", "s", 1)]
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0)], LABELS)
+    seen = []
+    monkeypatch.setattr(t, "fit", lambda rows, y: seen.append(len(rows)))
+    t.train(frame(spark, rows), labels, most_rows=40)
+    assert seen == [40]
