@@ -11,17 +11,25 @@ bytes decodes the result.
 Pieces repeat, so a worker keeps the encodings it has used lately (two
 generations of ``CACHE_PIECES``) and asks DuckDB for new ones only.
 
-A recursive query keeps the rows of all its rounds, so for pieces of more than
-``LONG_PIECE`` bytes the same round runs as a statement over a replaced table.
-There, a round contracts every separate pair of the piece's minimum rank, left to
-right; joining such a pair makes no pair of a lower rank in a vocabulary learned
-by merging, so the outcome is the same (tests hold both against tiktoken).
-
-Memory is bounded by one document, the cache and one batch of new pieces.  A
-lost executor repeats its partitions; nothing is kept between tasks but caches.
+A recursive query keeps the rows of all its rounds, so it runs in slices of at
+most ``SLICE_ROWS`` rows: a slice ends after so many rounds and the next starts
+from its last.  A piece of more than ``LONG_PIECE`` bytes would need a round for
+each of its merges; there a round of the recursive query contracts every separate
+pair of the piece's minimum rank, left to right.  The outcome is the same if
+joining a pair never makes one of a lower rank, which :func:`rounds_may_join`
+proves for a vocabulary: a token T that a new pair could make at a lower rank than
+that of the pair just joined would, at that rank, be one token already.  (What
+the lower ranks make of a stretch whose ends are token borders depends on the
+stretch alone, so it is enough to look at T's own bytes.)  For a vocabulary
+without that property long pieces contract one pair a round like all others.
+
+Memory is bounded by one document, the cache and one slice.  DuckDB may spill
+what exceeds its limit to the worker's own TMPDIR and removes it.  A lost executor
+repeats its partitions; nothing is kept between tasks but caches.
 
 Defined results: a null text is encoded as the empty text (no tokens, hash of
-the empty string); repeated rows are encoded each; other columns are ignored.
+the empty string); repeated rows are encoded each; of pairs with equal rank the
+leftmost is first; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -45,49 +55,50 @@ CACHE_PIECES = 300_000
 NEW_PIECES = 20_000
 BATCH_CHARS = 2_000_000
 LONG_PIECE = 64
+PIECE_BYTES = 1_000_000
+SLICE_ROWS = 16_000_000
 
-_ENCODE = """
-WITH RECURSIVE parts(piece, pos, tok, round) AS (
-    SELECT piece, pos, tok, 0 FROM start
-  UNION ALL (
+_LEFTMOST = """
     WITH least AS (
-        SELECT l.piece, min(m.rank::BIGINT * 65536 + l.pos) AS packed
+        SELECT l.piece, min(m.rank::BIGINT * 4294967296 + l.pos) AS packed
         FROM parts l
         JOIN parts r ON l.piece = r.piece AND r.pos = l.pos + 1
         JOIN merges m ON m.pair = l.tok::BIGINT * 65536 + r.tok
         GROUP BY l.piece
     )
     SELECT p.piece,
-           (p.pos - (p.pos > packed % 65536)::INT)::INT,
-           (CASE WHEN p.pos = packed % 65536 THEN packed // 65536 ELSE p.tok END)::INT,
+           (p.pos - (p.pos > packed % 4294967296)::INT)::INT,
+           (CASE WHEN p.pos = packed % 4294967296 THEN packed // 4294967296 ELSE p.tok END)::INT,
            round + 1
     FROM parts p JOIN least ON p.piece = least.piece
-    WHERE p.pos <> packed % 65536 + 1
-  )
-), done AS (
-    SELECT piece, pos, tok FROM parts JOIN (SELECT piece, max(round) AS round FROM parts GROUP BY piece) USING (piece, round)
-)
+    WHERE p.pos <> packed % 4294967296 + 1 AND round < {rounds}
 """
-_ROUND = """
-CREATE OR REPLACE TEMP TABLE parts AS
-SELECT piece, pos, CASE WHEN hit THEN rank ELSE tok END AS tok
-FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS swallowed
-    FROM (
-        SELECT *, coalesce(rank = best, false) AND (nth - coalesce(max(CASE WHEN rank IS DISTINCT FROM best THEN nth END)
-                  OVER (PARTITION BY piece ORDER BY pos), 0)) % 2 = 1 AS hit
-        FROM (
-            SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY piece) AS best
-            FROM (SELECT *, lead(tok) OVER w AS nxt, row_number() OVER w AS nth FROM parts WINDOW w AS (PARTITION BY piece ORDER BY pos)) p
-            LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 65536 + p.nxt
-        )
+_EVERY_SEPARATE = """
+    WITH pairs AS (
+        SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY piece) AS best
+        FROM (SELECT *, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS nxt FROM parts) p
+        LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 65536 + p.nxt
+    ), hits AS (
+        SELECT *, coalesce(rank = best, false) AND (pos - coalesce(max(CASE WHEN rank IS DISTINCT FROM best THEN pos END)
+                  OVER (PARTITION BY piece ORDER BY pos), -1)) % 2 = 1 AS hit
+        FROM pairs WHERE best IS NOT NULL
+    ), swallows AS (
+        SELECT *, lag(hit, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS swallowed FROM hits
     )
+    SELECT piece, (row_number() OVER (PARTITION BY piece ORDER BY pos) - 1)::INT, (CASE WHEN hit THEN rank ELSE tok END)::INT, round + 1
+    FROM swallows WHERE NOT swallowed AND round < {rounds}
+"""
+_SLICE = """
+CREATE OR REPLACE TEMP TABLE {into} AS
+WITH RECURSIVE parts(piece, pos, tok, round) AS (
+    SELECT piece, pos, tok, 0 FROM {start}
+  UNION ALL ({round})
 )
-WHERE NOT swallowed
+SELECT piece, pos, tok, round FROM parts JOIN (SELECT piece, max(round) AS round FROM parts GROUP BY piece) USING (piece, round)
 """
 _RESULT = """
 SELECT piece, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM {done} JOIN vocab USING (tok) GROUP BY piece
+FROM {parts} JOIN vocab USING (tok) GROUP BY piece
 """
 
 
@@ -97,11 +108,45 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
 
 
+def rounds_may_join(of: dict[bytes, int]) -> bool:
+    """Whether joining pairs rank by rank never makes a pair of a lower rank (see the module's text)."""
+
+    def lower_ranks(raw: bytes, below: int) -> int:
+        """How many tokens the ranks under ``below`` leave, each rank once, left to right."""
+        t, last = [raw[i : i + 1] for i in range(len(raw))], -1
+        while True:
+            now = min((q for a, b in zip(t, t[1:]) if (q := of.get(a + b)) is not None and last < q < below), default=None)
+            if now is None:
+                return len(t)
+            out: list[bytes] = []
+            i = 0
+            while i < len(t):
+                step = 2 if i + 1 < len(t) and of.get(t[i] + t[i + 1]) == now else 1
+                out.append(b"".join(t[i : i + step]))
+                i += step
+            t, last = out, now
+
+    for token, rank in of.items():
+        for i in range(1, len(token)):
+            sides = token[:i], token[i:]
+            if all(x in of for x in sides):
+                for x in sides:
+                    if of[x] > rank and len(x) > 1 and lower_ranks(token, of[x]) > 1:
+                        return False
+    return True
+
+
+@functools.lru_cache(maxsize=2)
+def _proved(path: str) -> bool:
+    return rounds_may_join(ranks(path))
+
+
 class Codec:
     """An in-memory DuckDB with the vocabulary, and the pieces used lately."""
 
     def __init__(self, path: str, pattern: str, long_piece: int = LONG_PIECE):
         of = ranks(path)
+        self.path = path
         self.pattern = regex.compile(pattern)
         self.long_piece = long_piece
         self.young: dict[str, tuple[str, bytes]] = {}
@@ -115,7 +160,7 @@ class Codec:
         ]
         pairs = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "rank": pa.array([m[1] for m in merges], pa.int32())})
         tokens = pa.table({"tok": pa.array(list(of.values()), pa.int32()), "hex": [t.hex() for t in of]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
         for name, rows in (("merges", pairs), ("vocab", tokens)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -126,16 +171,18 @@ class Codec:
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         pos = (np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         start = pa.table({"piece": piece, "pos": pos, "tok": self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]})
+        one_round = _EVERY_SEPARATE if long and _proved(self.path) else _LEFTMOST
+        rows, into = start.num_rows, "even"
         self.db.register("start", start)
         try:
-            if not long:
-                return self.db.execute(_ENCODE + _RESULT.format(done="done")).fetchall()
-            self.db.execute("CREATE OR REPLACE TEMP TABLE parts AS SELECT * FROM start")
-            rows, left = start.num_rows + 1, start.num_rows
-            while left < rows:
-                self.db.execute(_ROUND)
-                rows, left = left, self.db.execute("SELECT count(*) FROM parts").fetchone()[0]
-            return self.db.execute(_RESULT.format(done="parts")).fetchall()
+            came = "start"
+            while True:
+                rounds = max(1, SLICE_ROWS // rows)
+                self.db.execute(_SLICE.format(into=into, start=came, round=one_round.format(rounds=rounds)))
+                rows, most = self.db.execute(f"SELECT count(*), max(round) FROM {into}").fetchone()
+                if most < rounds:
+                    return self.db.execute(_RESULT.format(parts=into)).fetchall()
+                came, into = into, "odd" if into == "even" else "even"
         finally:
             self.db.unregister("start")
 
@@ -144,10 +191,14 @@ class Codec:
         raw = [p.encode() for p in pieces]
         for long in (False, True):
             own = [i for i, r in enumerate(raw) if (len(r) > self.long_piece) == long]
-            for a in range(0, len(own), NEW_PIECES):
-                step = own[a : a + NEW_PIECES]
+            edges = np.cumsum([len(raw[i]) for i in own])
+            a = 0
+            while a < len(own):  # at most NEW_PIECES pieces of PIECE_BYTES, one at least
+                z = int(np.searchsorted(edges, PIECE_BYTES + (edges[a - 1] if a else 0), "right"))
+                step = own[a : max(a + 1, min(z, a + NEW_PIECES))]
                 for n, ids, decoded in self._contract([raw[i] for i in step], long):
                     self.young[pieces[step[n]]] = (ids, bytes.fromhex(decoded))
+                a += len(step)
 
     def encode(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
         """For each text, the ids of each piece (joined by commas) and its decoded bytes."""

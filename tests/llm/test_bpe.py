@@ -31,10 +31,23 @@ def test_ids_round_trip(spark):
     assert Counter((r.doc_id, EXACT.decode(r.ids)) for r in got) == texts
 
 
-def test_both_kinds_of_round_agree_with_tiktoken():
+def test_the_vocabulary_lets_a_round_join_every_separate_pair():
+    assert bpe.rounds_may_join(bpe.ranks(PATH))
+    letters = {bytes([i]): i for i in range(256)}
+    assert bpe.rounds_may_join(letters | {b"ab": 300, b"abc": 301})
+    # "xab": a pair of a lower rank than that of the pair that makes it.
+    assert not bpe.rounds_may_join(letters | {b"xab": 299, b"ab": 300})
+
+
+def test_both_kinds_of_round_agree_with_tiktoken(monkeypatch):
     rnd = random.Random(5)
-    pieces = sorted({"".join(rnd.choice("abethinoré=.- ") for _ in range(rnd.randint(1, 60))) for _ in range(1500)})
-    for long_piece in (64, 0):
+    pieces = {"".join(rnd.choice("abethinoré=.- ") for _ in range(rnd.randint(1, 60))) for _ in range(1500)}
+    pieces |= {"".join(rnd.choice("abethinor") for _ in range(n)) for n in (65, 300, 2000)} | {"=" * 5000, "ab" * 3000}
+    pieces = sorted(pieces)
+    for long_piece, slice_rows in ((64, bpe.SLICE_ROWS), (0, bpe.SLICE_ROWS), (64, 40_000), (1 << 30, bpe.SLICE_ROWS)):
+        monkeypatch.setattr(bpe, "SLICE_ROWS", slice_rows)
+        if long_piece > 64:  # one pair a round also for long pieces
+            pieces = [p for p in pieces if len(p) < 1000]
         codec = bpe.Codec(PATH, public_tokenizers.PATTERN, long_piece)
         codec.learn(pieces)
         for p in pieces:
