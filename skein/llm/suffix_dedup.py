@@ -9,27 +9,37 @@ Prefix polynomial hashes (mod 2**64) give any substring's hash by two look-ups.
    substring with the least hash (the leftmost of equals), a choice that depends
    on the window's bytes alone.  Consecutive windows with one anchor form a
    segment.  A segment is known by its anchor's hash and its own hash, about one
-   for 16 bytes of text, and these travel, packed, to the anchor's bucket.
-2. *Whole segments.*  Where a smaller document holds an equal segment, all its
-   windows are covered.  Only where an anchor's segments differ (edits, chance)
-   do windows have to be looked at.
-3. *Suffix sort.*  For those, the first holder of each segment sends its bytes to
-   the bucket, and all suffixes that start at its windows are mergesorted.  Two
+   for 16 bytes of text.  Within an Arrow batch a segment that equals one of a
+   smaller document byte for byte is settled on the spot; the covered bytes go
+   to the answer as runs.  One document of the batch stands for each other segment.
+2. *Meeting.*  These travel, packed, to the anchor's bucket.  An anchor that
+   several documents have is worth a look; its segments are asked for their bytes.
+3. *Suffix sort.*  Segments with equal hashes are compared byte by byte: those of
+   larger documents are covered.  Of each that stays, all suffixes that start at
+   its windows are mergesorted with those of the anchor's other segments.  Two
    suffixes are compared by a binary search with prefix hashes for their common
    extension, so a comparison takes log2(50) steps, and the byte after it decides.
    Runs of suffixes with a common extension of 50 bytes are verified byte by byte
    before the smallest doc_id of a run counts.
-4. Codes return to their documents, which mark the covered bytes.
+4. The windows found return to their documents, which mark the covered bytes.
 
-Texts move only for documents with codes (a bitmap of fixed size, which may let
-others pass, filters before the shuffle).  Copies within an Arrow batch are
-settled there, so what a third of all documents share reaches its bucket once
-per batch.  Buckets hold about ``BUCKET_ENTRIES`` segments however large the
-input is, suffixes are sorted ``SORT_ROWS`` at a time, and long texts are worked on in chunks.
+Nothing is covered by a hash alone.  An anchor with more than ``HOT_ENTRIES``
+segments is split: holders of one segment are dealt in parts of so many, the
+smallest holder goes to each of them, and the windows of its different segments
+are dealt by their own hash (there alone a collision of two 48-bit hashes would
+hide a match).  What a third of all documents share reaches its
+bucket once per batch, 22 bytes each; a bucket holds about ``BUCKET_ENTRIES``
+segments however large the input is, suffixes are sorted ``SORT_ROWS`` at a time, and
+long texts are worked on in chunks.
+
+Texts move only for documents with codes: a bitmap sized by their number filters
+before the shuffle (``MOST_BITS`` bounds it; where documents are so many that it
+would let most pass there is none and all texts move).
 
 Defined results: a null text is empty and loses nothing; texts under 50 bytes
-lose nothing; equal doc_ids do not cover each other; a null doc_id counts as
-larger than any other; other columns are ignored.
+lose nothing; equal doc_ids do not cover each other, whatever their texts; a null
+doc_id counts as larger than any other; of documents that tie for a string the
+smallest doc_id keeps it; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +51,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.columns import documents
@@ -55,14 +66,18 @@ BATCH_BYTES = 8_000_000
 BUCKET_ENTRIES = 500_000
 SORT_ROWS = 200_000
 DENSITY = 2 / (WIDTH + 1)
-BITMAP_BITS = 1 << 23
+HOT_ENTRIES = 20_000
+MOST_BITS = 1 << 27
 NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 22) - 1)
-_FULL, _ASK, _PART, _TEXT = 0, 1, 2, 3
+#: Rows that meet at a document: covered runs, windows found, places of equal segments, wanted bytes, the text.
+_RUN, _WINDOWS, _SAME, _ASK, _TEXT = 0, 1, 2, 3, 4
+_BLOB = 9
+_ROOM = SPAN + WIDTH - 1
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -141,58 +156,176 @@ def _unpack(raw: bytes) -> np.ndarray:
 _CUT = ~np.uint64(0xFFFF)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(order, bytes) lists of about ``BATCH_BYTES``."""
-    order, raws, held = [], [], 0
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(order, key, bytes) lists of about ``BATCH_BYTES``."""
+    order, keys, raws, held = [], [], [], 0
     for b in batches:
-        o, t = b.column("order").to_pylist(), b.column("raw")
+        o, k, t = b.column("order").to_pylist(), b.column("key").to_pylist(), b.column("raw")
         for i in range(b.num_rows):
             raw = t[i].as_py()
             order.append(o[i])
+            keys.append(k[i])
             raws.append(raw)
             held += len(raw)
             if held >= BATCH_BYTES:
-                yield order, raws
-                order, raws, held = [], [], 0
+                yield order, keys, raws
+                order, keys, raws, held = [], [], [], 0
     if order:
-        yield order, raws
+        yield order, keys, raws
+
+
+def _laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one buffer, each followed by room for a segment, and where they begin."""
+    gap = bytes(_ROOM)
+    base = np.concatenate([[0], np.cumsum([len(r) + _ROOM for r in raws])])[:-1].astype(np.int64)
+    return np.frombuffer(b"".join(x for r in raws for x in (r, gap)), np.uint8), base
+
+
+def _same_bytes(buffer: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` windows from ``x`` hold the bytes of those from ``y``."""
+    out = np.zeros(len(x), bool)
+    if not len(x):
+        return out
+    rows = np.lib.stride_tricks.sliding_window_view(buffer, _ROOM)
+    beyond = np.arange(_ROOM) >= np.arange(WIDTH + 1)[:, None] + SPAN - 1
+    for a in range(0, len(x), 50_000):
+        part = slice(a, a + 50_000)
+        out[part] = ((rows[x[part]] == rows[y[part]]) | beyond[n[part]]).all(axis=1)
+    return out
+
+
+def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that intervals cover."""
+    by = np.argsort(start, kind="stable")
+    start, reach = start[by], np.maximum.accumulate(end[by])
+    first = np.nonzero(np.concatenate([[True], start[1:] > reach[:-1]]))[0]
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
+
+
+_BLOB_FIELDS = ("docs", "keys", "a", "e", "o", "pos", "shape")
+_CODE_SCHEMA = "order long, key long, kind int, payload binary"
+
+
+def _arrow(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], list(types))
+
+
+_CODE_TYPES = {"order": pa.int64(), "key": pa.int64(), "kind": pa.int32(), "payload": pa.binary()}
+_MEETING_TYPES = {"bucket": pa.int32(), **_CODE_TYPES, **{f: pa.binary() for f in _BLOB_FIELDS}}
+_CONTEXT_FIELDS = ("docs", "keys", "o", "pos", "shape", "shift", "g", "e", "bytes")
+_CONTEXT_TYPES = {"bucket": pa.int32(), **{f: pa.binary() for f in _CONTEXT_FIELDS}}
+
+
+def _code_rows(doc: np.ndarray, key: np.ndarray, kind: int, *fields: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """One row per text, its fields (arrays of bytes, a row for each entry) one after the other."""
+    if not len(doc):
+        return
+    by = np.lexsort((key, doc))
+    doc, key, fields = doc[by], key[by], [f[by] for f in fields]
+    edges = np.concatenate([[0], np.nonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[0] + 1, [len(doc)]])
+    for s, t in zip(edges[:-1], edges[1:]):
+        yield int(doc[s]), int(key[s]), kind, b"".join(f[s:t].tobytes() for f in fields)
+
+
+def _wide(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """Each number as a row of bytes."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(len(x), x.itemsize)
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """The upper six bytes of each number as a row."""
+    return np.ascontiguousarray(_wide(x, "<u8")[:, 2:])
+
+
+def _fields(payload: bytes, *widths: int) -> list[bytes]:
+    n, at, out = len(payload) // sum(widths), 0, []
+    for w in widths:
+        out.append(payload[at : at + n * w])
+        at += n * w
+    return out
+
+
+def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
+    part = []
+    for row in rows:
+        part.append(row)
+        if len(part) == most:
+            yield _arrow(part, types)
+            part = []
+    if part:
+        yield _arrow(part, types)
+
+
+def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets: int) -> Iterator[tuple]:
+    """What a batch settles itself, as runs, and its other segments by bucket."""
+    docs, keys = np.array(order, np.int64), np.array(keys, np.int64)
+    rank = np.lexsort((keys, docs))
+    docs, keys = docs[rank], keys[rank]
+    buffer, base = _laid_out([raws[i] for i in rank])
+    cols, same = [], []
+    total = 0
+    for k, i in enumerate(rank):
+        first, last, at, anchor, own = segments(raws[i])
+        own = own & _CUT
+        _, once, back = np.unique(own, return_index=True, return_inverse=True)
+        lead = once[back]
+        n = last - first + 1
+        other = np.nonzero(lead != np.arange(len(own)))[0]
+        if len(other):  # the segment again in the same text, if its bytes are the same too
+            fine = (n[other] == n[lead[other]]) & ((at - first)[other] == (at - first)[lead[other]])
+            fine &= _same_bytes(buffer, base[k] + first[other], base[k] + first[lead[other]], n[other])
+            lead[other[~fine]] = other[~fine]
+        stays = np.nonzero(lead == np.arange(len(own)))[0]
+        place = np.zeros(len(own), np.int64)
+        place[stays] = total + np.arange(len(stays))
+        repeat = np.nonzero(lead != np.arange(len(own)))[0]
+        same.append((place[lead[repeat]], first[repeat]))
+        cols.append((anchor[stays] & _CUT, own[stays], np.full(len(stays), k, np.int32), first[stays], n[stays], (at - first)[stays]))
+        total += len(stays)
+    a, e, o, pos, n, off = (np.concatenate(x) for x in zip(*cols))
+    entry, again = (np.concatenate(x) for x in zip(*same))
+    by = np.lexsort((o, e, a))
+    new = np.ones(total, bool)
+    x, y = by[1:], by[:-1]
+    new[1:] = (a[x] != a[y]) | (e[x] != e[y])
+    lead = np.zeros(total, np.int64)
+    lead[by] = by[np.nonzero(new)[0]][np.cumsum(new) - 1] if total else by
+    settled = docs[o] > docs[o[lead]] if total else np.zeros(0, bool)
+    settled &= (n == n[lead]) & (off == off[lead])
+    at = np.nonzero(settled)[0]
+    start = base[o] + pos
+    settled[at] = _same_bytes(buffer, start[at], start[lead[at]], n[at])
+    # Covered runs of each text, all places of a settled segment included.
+    hit = settled[entry]
+    s = np.concatenate([start[settled], base[o[entry[hit]]] + again[hit]])
+    if len(s):
+        z = s + np.concatenate([n[settled], n[entry[hit]]]) + SPAN - 1
+        s, z = _runs(s, z)
+        k = np.searchsorted(base, s, "right") - 1
+        for row in _code_rows(docs[k], keys[k], _RUN, _wide(s - base[k]), _wide(z - base[k])):
+            yield (abs(row[1]) % buckets, *row, *[None] * len(_BLOB_FIELDS))
+    entry, again = entry[~hit], again[~hit]
+    for row in _code_rows(docs[o[entry]], keys[o[entry]], _SAME, _wide(pos[entry]), _wide(again)):
+        yield (abs(row[1]) % buckets, *row, *[None] * len(_BLOB_FIELDS))
+    left = by[~settled[by]]
+    bucket = ((a[left] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+    spread = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[spread], np.arange(buckets + 1))
+    for k in np.nonzero(np.diff(edges))[0]:
+        at = left[spread[edges[k] : edges[k + 1]]]
+        named, local = np.unique(o[at], return_inverse=True)
+        yield (
+            int(k), None, None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), _pack(e[at]),
+            local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(), (n[at] * 64 + off[at]).astype("<u2").tobytes(),
+        )
 
 
-def _anchor_blobs(buckets: int):
+def _meeting(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for order, raws in _texts(batches):
-            docs = np.array(order, np.int64)
-            rank = np.argsort(docs, kind="stable")
-            a, e, o = [], [], []
-            for k, i in enumerate(rank):
-                *_, anchor, own = segments(raws[i])
-                own, first = np.unique(own & _CUT, return_index=True)
-                a.append(anchor[first] & _CUT)
-                e.append(own)
-                o.append(np.full(len(own), k, np.int32))
-            docs = docs[rank]
-            a, e, o = np.concatenate(a), np.concatenate(e), np.concatenate(o)
-            by = np.lexsort((o, e, a))
-            a, e, o = a[by], e[by], o[by]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (e[1:] != e[:-1])
-            lead = docs[o[np.nonzero(new)[0]]][np.cumsum(new) - 1] if len(a) else docs[:0]
-            settled = docs[o] > lead if len(a) else np.zeros(0, bool)
-            bucket = ((a >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
-            spread = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[spread], np.arange(buckets + 1))
-            rows = []
-            for k in np.nonzero(np.diff(edges))[0]:
-                at = spread[edges[k] : edges[k + 1]]
-                yes, no = at[settled[at]], at[~settled[at]]
-                named, local = np.unique(np.concatenate([o[no], o[yes]]), return_inverse=True)
-                local = local.astype("<u4")
-                rows.append((int(k), docs[named].tobytes(), _pack(a[no]), _pack(e[no]), local[: len(no)].tobytes(), _pack(e[yes]), local[len(no) :].tobytes()))
-            for s in range(0, len(rows), 64):
-                cols = list(zip(*rows[s : s + 64]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "docs", "a", "e", "o", "fe", "fo"]
-                )
+        for order, keys, raws in _texts(batches):
+            yield from _chunks(_batch_entries(order, keys, raws, buckets), _MEETING_TYPES, 64)
 
     return run
 
@@ -210,105 +343,132 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _code_rows(doc: np.ndarray, kind: int, *fields: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """One row per document: its segment ids and, if given, their window masks."""
-    if not len(doc):
+def _asks(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
+    """For the bytes of every segment whose anchor several documents of the bucket have."""
+    ids = [np.frombuffer(r["o"], "<u4") for r in rows]
+    doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
+    a, e = (np.concatenate([_unpack(r[f]) for r in rows]) for f in ("a", "e"))
+    pos, shape = (np.concatenate([np.frombuffer(r[f], t) for r in rows]) for f, t in (("pos", "<u4"), ("shape", "<u2")))
+    by = np.lexsort((doc, e, a))
+    doc, key, a, e, pos, shape = (x[by] for x in (doc, key, a, e, pos, shape))
+    head = np.nonzero(np.concatenate([[True], a[1:] != a[:-1]]))[0]
+    size = np.diff(np.append(head, len(a)))
+    several = np.repeat(np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head), size)
+    hot = np.repeat(size > HOT_ENTRIES, size)
+
+    def ask(at: np.ndarray, group: np.ndarray, windows: int) -> Iterator[tuple[int, int, int, bytes]]:
+        return _code_rows(doc[at], key[at], _ASK, _wide(pos[at]), _wide(shape[at].astype(np.int64) + windows * 4096), _packed(group), _packed(e[at]))
+
+    plain = np.nonzero(several & ~hot)[0]
+    yield from ask(plain, a[plain], 0)
+    wide = np.nonzero(several & hot)[0]
+    if not len(wide):
         return
-    by = np.argsort(doc, kind="stable")
-    doc, fields = doc[by], [f[by] for f in fields]
-    edges = np.concatenate([[0], np.nonzero(doc[1:] != doc[:-1])[0] + 1, [len(doc)]])
-    for s, t in zip(edges[:-1], edges[1:]):
-        payload = _pack(fields[0][s:t])
-        if len(fields) > 1:
-            payload += fields[1][s:t].astype("<u4").tobytes()
-        yield int(doc[s]), kind, payload
-
-
-def _emit_codes(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    part = []
-    for row in rows:
-        part.append(row)
-        if len(part) == 20_000:
-            yield _code_batch(part)
-            part = []
-    if part:
-        yield _code_batch(part)
-
-
-def _code_batch(part: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*part))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["order", "kind", "payload"])
+    # The holders of one segment of a hot anchor in parts, its smallest holder in each of them.
+    new = np.concatenate([[True], (a[wide][1:] != a[wide][:-1]) | (e[wide][1:] != e[wide][:-1])])
+    lead = wide[np.nonzero(new)[0]][np.cumsum(new) - 1]
+    first = np.nonzero(new)[0]
+    nth = np.arange(len(wide)) - first[np.cumsum(new) - 1]
+    part = nth // HOT_ENTRIES
+    group = _mix(_mix(a[wide] ^ _mix(e[wide])) + part.astype(np.uint64)) & _CUT
+    holders = np.diff(np.append(first, len(wide)))[np.cumsum(new) - 1]
+    held = holders > 1
+    yield from ask(wide[held], group[held], 0)
+    more = np.nonzero(held & (part > 0) & (nth % HOT_ENTRIES == 0))[0]
+    yield from ask(lead[more], group[more], 0)
+    # The windows of its different segments by their own hash.
+    tops = wide[doc[wide] == doc[lead]]
+    yield from ask(tops, a[tops], 1)
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches):
-        ids = [np.frombuffer(r["docs"], np.int64) for r in rows]
-        pick = lambda name: np.concatenate([d[np.frombuffer(r[name], "<u4")] for d, r in zip(ids, rows)])
-        doc, settled = pick("o"), pick("fo")
-        a, e = (np.concatenate([_unpack(r[name]) for r in rows]) for name in ("a", "e"))
-        settled_e = np.concatenate([_unpack(r["fe"]) for r in rows])
-        by = np.lexsort((doc, e, a))
-        a, e, doc = a[by], e[by], doc[by]
-        if len(a):
-            new_a = np.concatenate([[True], a[1:] != a[:-1]])
-            new = new_a | np.concatenate([[True], e[1:] != e[:-1]])
-            lead = doc[np.nonzero(new)[0]][np.cumsum(new) - 1]
-            full = doc > lead
-            group = np.cumsum(new_a) - 1
-            several = np.bincount(group, new)[group] > 1
-            yield from _emit_codes(_code_rows(doc[full], _FULL, e[full]))
-            ask = several & new
-            yield from _emit_codes(_code_rows(doc[ask], _ASK, e[ask]))
-        yield from _emit_codes(_code_rows(settled, _FULL, settled_e))
-
-
-def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple[int, bytes]]]]:
-    """Each text with the codes of its doc_id; the input is sorted by (order, kind)."""
+    def settled() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blob = pa.compute.equal(b.column("kind"), _BLOB)
+            codes = b.filter(pa.compute.invert(blob)).select(list(_CODE_TYPES))
+            if codes.num_rows:
+                ready.append(codes)
+            yield b.filter(blob)
+
+    ready: list[pa.RecordBatch] = []
+    for rows in _by_bucket(settled()):
+        yield from ready
+        ready.clear()
+        yield from _chunks(_asks(rows), _CODE_TYPES, 20_000)
+    yield from ready
+
+
+def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[tuple[int, bytes]]]]:
+    """Each text with the codes of its doc_id and key; the input is sorted by (order, key, kind)."""
     now, codes = None, []
     for b in batches:
-        order, kind, payload = b.column("order"), b.column("kind").to_pylist(), b.column("payload")
+        order, key, kind, payload = b.column("order").to_pylist(), b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("payload")
         for i in range(b.num_rows):
-            o = order[i].as_py()
-            if o != now:
-                now, codes = o, []
+            own = order[i], key[i]
+            if own != now:
+                now, codes = own, []
             if kind[i] == _TEXT:
-                yield o, payload[i].as_py(), codes
+                yield *own, payload[i].as_py(), codes
             else:
                 codes.append((kind[i], payload[i].as_py()))
 
 
-def _context_blobs(buckets: int):
+def _context_rows(held: list[tuple[int, int, bytes, list[bytes]]], buckets: int) -> Iterator[tuple]:
+    docs, keys = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+    buffer, base = _laid_out([h[2] for h in held])
+    o, cols = [], []
+    for k, (*_, asks) in enumerate(held):
+        for p in asks:
+            x = _fields(p, 4, 4, 6, 6)
+            cols.append((np.frombuffer(x[0], "<u4").astype(np.int64), np.frombuffer(x[1], "<u4").astype(np.int64), _unpack(x[2]), _unpack(x[3])))
+            o.append(np.full(len(cols[-1][0]), k))
+    pos, shape, g, e = (np.concatenate(x) for x in zip(*cols))
+    o = np.concatenate(o)
+    windows, n, off, shift = shape >= 4096, shape % 4096 // 64, shape % 64, np.zeros(len(o), np.int64)
+    target = g
+    if windows.any():
+        w = np.nonzero(windows)[0]
+        each = np.repeat(w, n[w])
+        step = np.arange(len(each)) - np.repeat(np.cumsum(n[w]) - n[w], n[w])
+        h = prefix_hashes(buffer)
+        start = base[o[each]] + pos[each] + step
+        own = _mix(substring_hashes(h, start, start + SPAN)) & _CUT
+        group = _mix(g[each] + (step - off[each] + WIDTH).astype(np.uint64)) & _CUT
+        plain = np.nonzero(~windows)[0]
+        both = np.concatenate([plain, each])
+        one = np.ones(len(each), np.int64)
+        target = np.concatenate([g[plain], _mix(group ^ _mix(own)) & _CUT])
+        g, e = np.concatenate([g[plain], group]), np.concatenate([e[plain], own])
+        n, off, shift = np.concatenate([n[plain], one]), np.concatenate([off[plain], 0 * one]), np.concatenate([shift[plain], step])
+        o, pos = o[both], pos[both]
+    bucket = ((target >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    for k in np.nonzero(np.diff(edges))[0]:
+        at = by[edges[k] : edges[k + 1]]
+        named, local = np.unique(o[at], return_inverse=True)
+        size = n[at] + SPAN - 1
+        start = base[o[at]] + pos[at] + shift[at]
+        every = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield (
+            int(k), docs[named].tobytes(), keys[named].tobytes(), local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(),
+            (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), _pack(e[at]), buffer[every].tobytes(),
+        )
+
+
+def _contexts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for k, parts in held.items():
-                cols = list(zip(*parts))
-                rows.append((k, np.array(cols[0], np.int64).tobytes(), _pack(np.array(cols[1], np.uint64)), _pack(np.array(cols[2], np.uint64)), bytes(cols[3]), bytes(cols[4]), b"".join(cols[5])))
-            for s in range(0, len(rows), 64):
-                cols = list(zip(*rows[s : s + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "docs", "a", "e", "off", "n", "bytes"])
-            held.clear()
-
-        for o, raw, codes in _with_codes(batches):
-            asked = [_unpack(p) for k, p in codes if k == _ASK]
-            if not asked:
-                continue
-            first, last, at, anchor, own = segments(raw)
-            own = own & _CUT
-            wanted = np.nonzero(np.isin(own, np.concatenate(asked)))[0]
-            _, once = np.unique(own[wanted], return_index=True)
-            for i in wanted[once]:
-                a = int(anchor[i]) & ~0xFFFF
-                f, z = int(first[i]), int(last[i])
-                held.setdefault((a >> 16) % buckets, []).append((o, a, int(own[i]), int(at[i]) - f, z - f + 1, raw[f : z + SPAN]))
-                size += z - f + SPAN + 40
+        held, size = [], 0
+        for order, key, raw, codes in _with_codes(batches):
+            asks = [p for k, p in codes if k == _ASK]
+            if asks:
+                held.append((order, key, raw, asks))
+                size += len(raw)
             if size > BATCH_BYTES:
-                yield from flush()
-                size = 0
-        yield from flush()
+                yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 64)
+                held, size = [], 0
+        if held:
+            yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 64)
 
     return run
 
@@ -386,63 +546,88 @@ class SuffixSort:
         return perm, np.cumsum(~same) - 1
 
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches):
-        doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        a, e = (np.concatenate([_unpack(r[name]) for r in rows]) for name in ("a", "e"))
-        off, n = (np.concatenate([np.frombuffer(r[name], np.uint8) for r in rows]).astype(np.int64) for name in ("off", "n"))
-        raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        base = np.concatenate([[0], np.cumsum(n + SPAN - 1)[:-1]])
-        held = np.repeat(np.arange(len(n)), n)
-        window = np.arange(len(held)) - np.repeat(np.cumsum(n) - n, n)
-        # Equal windows of one anchor stand at one distance from it.
-        _, number = np.unique(a, return_inverse=True)
-        group = number[held] * 64 + (window - off[held] + WIDTH)
-        by = np.lexsort((doc[held], group))
-        held, window, group = held[by], window[by], group[by]
-        _, back, size = np.unique(group, return_inverse=True, return_counts=True)
-        some = size[back] > 1
-        held, window, group = held[some], window[some], group[some]
-        if not len(held):
-            continue
-        sort, mask = SuffixSort(raw), np.zeros(len(n), np.int64)
+def _windows_found(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
+    """The windows of a bucket's segments that a smaller document has."""
+    ids = [np.frombuffer(r["o"], "<u4") for r in rows]
+    doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
+    g, e = (np.concatenate([_unpack(r[f]) for r in rows]) for f in ("g", "e"))
+    pos, shape, shift = (np.concatenate([np.frombuffer(r[f], t) for r in rows]).astype(np.int64) for f, t in (("pos", "<u4"), ("shape", "<u2"), ("shift", "u1")))
+    n, off = shape // 64, shape % 64
+    buffer = np.frombuffer(b"".join([*[r["bytes"] for r in rows], bytes(_ROOM)]), np.uint8)
+    base = np.cumsum(n + SPAN - 1) - n - SPAN + 1
+    by = np.lexsort((doc, shape, e, g))
+    doc, key, g, e, pos, shape, shift, n, off, base = (x[by] for x in (doc, key, g, e, pos, shape, shift, n, off, base))
+    # Equal segments: the hashes only say which to compare.
+    same = np.zeros(len(g), bool)
+    same[1:] = (g[1:] == g[:-1]) & (e[1:] == e[:-1]) & (shape[1:] == shape[:-1])
+    at = np.nonzero(same)[0]
+    same[at] = _same_bytes(buffer, base[at], base[at - 1], n[at])
+    head = np.nonzero(~same)[0]
+    lead = head[np.cumsum(~same) - 1]
+    mask = np.where(doc > doc[lead], (np.int64(1) << n) - 1, 0)
+    # Of each different segment of an anchor the windows of its smallest holder are sorted.
+    _, number, size = np.unique(g[head], return_inverse=True, return_counts=True)
+    some = size[number] > 1
+    tops, number = head[some], number[some]
+    held = np.repeat(np.arange(len(tops)), n[tops])
+    window = np.arange(len(held)) - np.repeat(np.cumsum(n[tops]) - n[tops], n[tops])
+    group = number[held] * 64 + (window - off[tops][held] + WIDTH)  # equal windows of one anchor stand at one distance from it
+    order = np.lexsort((doc[tops][held], group))
+    held, window, group = held[order], window[order], group[order]
+    _, back, size = np.unique(group, return_inverse=True, return_counts=True)
+    met = size[back] > 1
+    held, window, group = held[met], window[met], group[met]
+    if len(held):
+        sort, owner, start = SuffixSort(buffer), doc[tops], base[tops]
+        found = np.zeros(len(tops), np.int64)
         heads = np.append(np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], len(group))
-        at = 0
-        while at < len(group):  # whole groups, about SORT_ROWS suffixes at a time
-            end = int(heads[max(np.searchsorted(heads, at + SORT_ROWS, "right") - 1, np.searchsorted(heads, at, "right"))])
-            h, w, g = held[at:end], window[at:end], group[at:end]
-            perm, cls = sort.classes(base[h] + w, g)
+        a = 0
+        while a < len(group):  # whole groups, about SORT_ROWS suffixes at a time
+            z = int(heads[max(np.searchsorted(heads, a + SORT_ROWS, "right") - 1, np.searchsorted(heads, a, "right"))])
+            h, w, k = held[a:z], window[a:z], group[a:z]
+            perm, cls = sort.classes(start[h] + w, k)
             least = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, cls, doc[h[perm]])
-            covered = perm[doc[h[perm]] > least[cls]]
-            np.bitwise_or.at(mask, h[covered], np.int64(1) << w[covered])
-            at = end
-        hit = np.nonzero(mask)[0]
-        yield from _emit_codes(_code_rows(doc[hit], _PART, e[hit], mask[hit]))
+            np.minimum.at(least, cls, owner[h[perm]])
+            covered = perm[owner[h[perm]] > least[cls]]
+            np.bitwise_or.at(found, h[covered], np.int64(1) << w[covered])
+            a = z
+        of = np.full(len(g), -1)
+        of[tops] = np.arange(len(tops))
+        twin = np.nonzero((doc == doc[lead]) & (of[lead] >= 0))[0]  # the same segment in texts of one doc_id
+        mask[twin] |= found[of[lead[twin]]]
+    hit = np.nonzero(mask)[0]
+    yield from _code_rows(doc[hit], key[hit], _WINDOWS, _wide(pos[hit]), _wide(mask[hit] << shift[hit]))
+
 
+def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_bucket(batches):
+        yield from _chunks(_windows_found(rows), _CODE_TYPES, 20_000)
 
-def covered_bytes(raw: bytes, codes: list[tuple[int, bytes]]) -> np.ndarray:
+
+def covered_bytes(size: int, codes: list[tuple[int, bytes]]) -> np.ndarray:
     """Which bytes of a text its codes cover."""
-    edge = np.zeros(len(raw) + 1, np.int32)
-    full = [_unpack(p) for k, p in codes if k == _FULL]
-    part = [(_unpack(p[: len(p) // 10 * 6]), np.frombuffer(p[len(p) // 10 * 6 :], "<u4")) for k, p in codes if k == _PART]
-    if full or part:
-        first, last, _, _, own = segments(raw)
-        own = own & _CUT
-        if full:
-            hit = np.isin(own, np.concatenate(full))
-            np.add.at(edge, first[hit], 1)
-            np.add.at(edge, last[hit] + SPAN, -1)
-        if part:
-            ids, masks = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-            by = np.argsort(ids)
-            ids, masks = ids[by], masks[by]
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            hit = np.nonzero(ids[at] == own)[0]
-            i, k = np.nonzero(masks[at[hit], None] >> np.arange(WIDTH, dtype=np.uint32) & 1)
-            s = first[hit[i]] + k
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + SPAN, -1)
+    edge = np.zeros(size + 1, np.int32)
+
+    def numbers(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        got = [_fields(p, 4, 4) for k, p in codes if k == kind]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x[i], "<u4").astype(np.int64) for x in got]]) for i in (0, 1))
+
+    start, end = numbers(_RUN)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    pos, mask = numbers(_WINDOWS)
+    if len(pos):
+        first, again = numbers(_SAME)
+        if len(first):  # what holds for a segment holds for its other places
+            by = np.argsort(first, kind="stable")
+            first, again = first[by], again[by]
+            low, high = np.searchsorted(first, pos, "left"), np.searchsorted(first, pos, "right")
+            k = np.repeat(np.arange(len(pos)), high - low)
+            at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(k))
+            pos, mask = np.concatenate([pos, again[at]]), np.concatenate([mask, mask[k]])
+        i, w = np.nonzero(mask[:, None] >> np.arange(WIDTH) & 1)
+        np.add.at(edge, pos[i] + w, 1)
+        np.add.at(edge, pos[i] + w + SPAN, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -456,8 +641,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["order", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    for o, raw, codes in _with_codes(batches):
-        gone = covered_bytes(raw, codes)
+    for o, _, raw, codes in _with_codes(batches):
+        gone = covered_bytes(len(raw), codes)
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         rows.append((o, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
@@ -468,58 +653,57 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _bitmap(df: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the hashed orders in ``df``."""
-    h = F.pmod(F.xxhash64("order"), F.lit(BITMAP_BITS)) + 1  # positions count from 1
-    parts = df.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bits = np.zeros((BITMAP_BITS // 8 // 4096 + 2, 4096), np.uint8)
-    for r in parts.collect():  # at most 256 rows of 4 KiB
+def _with(codes: DataFrame) -> Column | None:
+    """Whether a row's ``order`` may be one of ``codes``; None if there are too many for a bitmap to tell."""
+    n = codes.select(F.approx_count_distinct("order")).first()[0]
+    size = 1 << max(16, (16 * n).bit_length())
+    if size > MOST_BITS:
+        return None
+    h = F.pmod(F.xxhash64("order"), F.lit(size)) + 1  # positions count from 1
+    parts = codes.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits = np.zeros((size // 8 // 4096 + 2, 4096), np.uint8)
+    for r in parts.collect():  # at most MOST_BITS / 8 bytes
         bits[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits
 
-
-def _in_bitmap(bits: np.ndarray):
     @F.pandas_udf("boolean")
     def run(bucket, position):
         k, p = bucket.to_numpy(), position.to_numpy()
         return pd.Series((bits[k, p >> 3] >> (p & 7)) & 1 == 1)
 
-    h = F.pmod(F.xxhash64("order"), F.lit(BITMAP_BITS)) + 1
     return run(F.bitmap_bucket_number(h), F.bitmap_bit_position(h))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("order"), raw.alias("raw"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("order"), raw.alias("raw")).withColumn("key", F.xxhash64("raw"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total * DENSITY / BUCKET_ENTRIES))
 
-    blob = "docs binary, a binary, e binary"
-    anchors = base.where(F.octet_length("raw") >= SPAN).mapInArrow(_anchor_blobs(buckets), f"bucket int, {blob}, o binary, fe binary, fo binary")
-    codes = "order long, kind int, payload binary"
-    matched = table(anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments, codes), "segments")
-
-    def texts(where) -> DataFrame:
-        return base.where(where).select("order", F.lit(_TEXT).alias("kind"), F.col("raw").alias("payload"))
+    blobs = lambda fields: ", ".join(f"{f} binary" for f in fields)
+    entries = base.where(F.octet_length("raw") >= SPAN).mapInArrow(_meeting(buckets), f"bucket int, {_CODE_SCHEMA}, {blobs(_BLOB_FIELDS)}")
+    matched = table(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments, _CODE_SCHEMA), "segments")
 
-    def meet(*parts: DataFrame) -> DataFrame:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionAll(p)
-        return every.repartition("order").sortWithinPartitions("order", "kind")
+    def meet(codes: DataFrame, hit: Column | None) -> DataFrame:
+        own = base if hit is None else base.where(hit)
+        texts = own.select("order", "key", F.lit(_TEXT).alias("kind"), F.col("raw").alias("payload"))
+        return codes.unionAll(texts).repartition("order", "key").sortWithinPartitions("order", "key", "kind")
 
     asks = matched.where(F.col("kind") == _ASK)
-    contexts = meet(asks, texts(_in_bitmap(_bitmap(asks)))).mapInArrow(_context_blobs(buckets), f"bucket int, {blob}, off binary, n binary, bytes binary")
-    part = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes, codes), "windows")
-
-    answers = matched.where(F.col("kind") == _FULL).unionAll(part)
-    hit = _in_bitmap(_bitmap(answers))
-    some = meet(answers, texts(hit)).mapInArrow(_finish, "order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    none = base.where(~hit).select(
-        "order", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256")
-    )
-    return some.unionAll(none).select(F.when(F.col("order") != NO_ID, F.col("order")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    contexts = meet(asks, _with(asks)).mapInArrow(_contexts(buckets), f"bucket int, {blobs(_CONTEXT_FIELDS)}")
+    found = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes, _CODE_SCHEMA), "windows")
+
+    runs = matched.where(F.col("kind") == _RUN)
+    answers = runs.unionAll(found)
+    hit = _with(answers)
+    places = matched.where(F.col("kind") == _SAME)
+    some = meet(answers.unionAll(places), hit).mapInArrow(_finish, "order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if hit is not None:
+        none = base.where(~hit).select(
+            "order", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256")
+        )
+        some = some.unionAll(none)
+    return some.select(F.when(F.col("order") != NO_ID, F.col("order")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
