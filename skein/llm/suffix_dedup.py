@@ -217,15 +217,18 @@ _CONTEXT_FIELDS = ("docs", "keys", "o", "pos", "shape", "shift", "g", "e", "byte
 _CONTEXT_TYPES = {"bucket": pa.int32(), **{f: pa.binary() for f in _CONTEXT_FIELDS}}
 
 
-def _code_rows(doc: np.ndarray, key: np.ndarray, kind: int, *fields: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """One row per text, its fields (arrays of bytes, a row for each entry) one after the other."""
-    if not len(doc):
-        return
+def _code_rows(doc: np.ndarray, key: np.ndarray, kind: int, *fields: np.ndarray) -> pa.RecordBatch:
+    """One row per text, its payload the records (rows of bytes, field by field) of its entries."""
+    record = np.concatenate(fields, axis=1)
     by = np.lexsort((key, doc))
-    doc, key, fields = doc[by], key[by], [f[by] for f in fields]
-    edges = np.concatenate([[0], np.nonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[0] + 1, [len(doc)]])
-    for s, t in zip(edges[:-1], edges[1:]):
-        yield int(doc[s]), int(key[s]), kind, b"".join(f[s:t].tobytes() for f in fields)
+    doc, key = doc[by], key[by]
+    new = np.nonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[0] + 1
+    first = np.concatenate([[0], new]) if len(doc) else new
+    offsets = (np.append(first, len(doc)) * record.shape[1]).astype(np.int32)
+    payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(record[by].tobytes())])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[first]), pa.array(key[first]), pa.array(np.full(len(first), kind, np.int32)), payload], ["order", "key", "kind", "payload"]
+    )
 
 
 def _wide(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
@@ -239,12 +242,12 @@ def _packed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(_wide(x, "<u8")[:, 2:])
 
 
-def _fields(payload: bytes, *widths: int) -> list[bytes]:
-    n, at, out = len(payload) // sum(widths), 0, []
-    for w in widths:
-        out.append(payload[at : at + n * w])
-        at += n * w
-    return out
+def _numbers(payloads: list[bytes]) -> np.ndarray:
+    """Records of two numbers of four bytes."""
+    return np.frombuffer(b"".join(payloads), "<u4").reshape(-1, 2).astype(np.int64)
+
+
+_ASK_BYTES = 20
 
 
 def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +261,14 @@ def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) ->
         yield _arrow(part, types)
 
 
-def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets: int) -> Iterator[tuple]:
+def _passing(codes: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Code rows that only pass through a bucket, any one."""
+    bucket = pa.array((codes.column("key").to_numpy() % buckets).astype(np.int32))
+    nothing = [pa.nulls(codes.num_rows, pa.binary())] * len(_BLOB_FIELDS)
+    return pa.RecordBatch.from_arrays([bucket, *codes.columns, *nothing], list(_MEETING_TYPES))
+
+
+def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
     """What a batch settles itself, as runs, and its other segments by bucket."""
     docs, keys = np.array(order, np.int64), np.array(keys, np.int64)
     rank = np.lexsort((keys, docs))
@@ -304,28 +314,30 @@ def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets
         z = s + np.concatenate([n[settled], n[entry[hit]]]) + SPAN - 1
         s, z = _runs(s, z)
         k = np.searchsorted(base, s, "right") - 1
-        for row in _code_rows(docs[k], keys[k], _RUN, _wide(s - base[k]), _wide(z - base[k])):
-            yield (abs(row[1]) % buckets, *row, *[None] * len(_BLOB_FIELDS))
+        yield _passing(_code_rows(docs[k], keys[k], _RUN, _wide(s - base[k]), _wide(z - base[k])), buckets)
     entry, again = entry[~hit], again[~hit]
-    for row in _code_rows(docs[o[entry]], keys[o[entry]], _SAME, _wide(pos[entry]), _wide(again)):
-        yield (abs(row[1]) % buckets, *row, *[None] * len(_BLOB_FIELDS))
+    if len(entry):
+        yield _passing(_code_rows(docs[o[entry]], keys[o[entry]], _SAME, _wide(pos[entry]), _wide(again)), buckets)
     left = by[~settled[by]]
     bucket = ((a[left] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
     spread = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[spread], np.arange(buckets + 1))
+    rows = []
     for k in np.nonzero(np.diff(edges))[0]:
         at = left[spread[edges[k] : edges[k + 1]]]
         named, local = np.unique(o[at], return_inverse=True)
-        yield (
+        rows.append((
             int(k), None, None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), _pack(e[at]),
             local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(), (n[at] * 64 + off[at]).astype("<u2").tobytes(),
-        )
+        ))
+    for a in range(0, len(rows), 64):
+        yield _arrow(rows[a : a + 64], _MEETING_TYPES)
 
 
 def _meeting(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for order, keys, raws in _texts(batches):
-            yield from _chunks(_batch_entries(order, keys, raws, buckets), _MEETING_TYPES, 64)
+            yield from _batch_entries(order, keys, raws, buckets)
 
     return run
 
@@ -343,7 +355,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _asks(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
+def _asks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """For the bytes of every segment whose anchor several documents of the bucket have."""
     ids = [np.frombuffer(r["o"], "<u4") for r in rows]
     doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
@@ -356,11 +368,11 @@ def _asks(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
     several = np.repeat(np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head), size)
     hot = np.repeat(size > HOT_ENTRIES, size)
 
-    def ask(at: np.ndarray, group: np.ndarray, windows: int) -> Iterator[tuple[int, int, int, bytes]]:
+    def ask(at: np.ndarray, group: np.ndarray, windows: int) -> pa.RecordBatch:
         return _code_rows(doc[at], key[at], _ASK, _wide(pos[at]), _wide(shape[at].astype(np.int64) + windows * 4096), _packed(group), _packed(e[at]))
 
     plain = np.nonzero(several & ~hot)[0]
-    yield from ask(plain, a[plain], 0)
+    yield ask(plain, a[plain], 0)
     wide = np.nonzero(several & hot)[0]
     if not len(wide):
         return
@@ -373,12 +385,12 @@ def _asks(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
     group = _mix(_mix(a[wide] ^ _mix(e[wide])) + part.astype(np.uint64)) & _CUT
     holders = np.diff(np.append(first, len(wide)))[np.cumsum(new) - 1]
     held = holders > 1
-    yield from ask(wide[held], group[held], 0)
+    yield ask(wide[held], group[held], 0)
     more = np.nonzero(held & (part > 0) & (nth % HOT_ENTRIES == 0))[0]
-    yield from ask(lead[more], group[more], 0)
+    yield ask(lead[more], group[more], 0)
     # The windows of its different segments by their own hash.
     tops = wide[doc[wide] == doc[lead]]
-    yield from ask(tops, a[tops], 1)
+    yield ask(tops, a[tops], 1)
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +406,7 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for rows in _by_bucket(settled()):
         yield from ready
         ready.clear()
-        yield from _chunks(_asks(rows), _CODE_TYPES, 20_000)
+        yield from _asks(rows)
     yield from ready
 
 
@@ -416,14 +428,10 @@ def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, b
 def _context_rows(held: list[tuple[int, int, bytes, list[bytes]]], buckets: int) -> Iterator[tuple]:
     docs, keys = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
     buffer, base = _laid_out([h[2] for h in held])
-    o, cols = [], []
-    for k, (*_, asks) in enumerate(held):
-        for p in asks:
-            x = _fields(p, 4, 4, 6, 6)
-            cols.append((np.frombuffer(x[0], "<u4").astype(np.int64), np.frombuffer(x[1], "<u4").astype(np.int64), _unpack(x[2]), _unpack(x[3])))
-            o.append(np.full(len(cols[-1][0]), k))
-    pos, shape, g, e = (np.concatenate(x) for x in zip(*cols))
-    o = np.concatenate(o)
+    asked = np.frombuffer(b"".join(p for *_, asks in held for p in asks), np.uint8).reshape(-1, _ASK_BYTES)
+    o = np.repeat(np.arange(len(held)), [sum(map(len, asks)) // _ASK_BYTES for *_, asks in held])
+    pos, shape = (np.ascontiguousarray(asked[:, a : a + 4]).view("<u4").reshape(-1).astype(np.int64) for a in (0, 4))
+    g, e = (_unpack(asked[:, a : a + 6].tobytes()) for a in (8, 14))
     windows, n, off, shift = shape >= 4096, shape % 4096 // 64, shape % 64, np.zeros(len(o), np.int64)
     target = g
     if windows.any():
@@ -465,25 +473,31 @@ def _contexts(buckets: int):
                 held.append((order, key, raw, asks))
                 size += len(raw)
             if size > BATCH_BYTES:
-                yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 64)
+                yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 16)
                 held, size = [], 0
         if held:
-            yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 64)
+            yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 16)
 
     return run
 
 
 class SuffixSort:
-    """Mergesort of suffixes inside groups, comparing by common extension."""
+    """Mergesort of suffixes inside groups, comparing by common extension.
 
-    def __init__(self, buffer: np.ndarray, span: int = SPAN):
+    ``local`` numbers the bytes of each stretch that suffixes do not leave; powers go by it.
+    """
+
+    def __init__(self, buffer: np.ndarray, span: int = SPAN, local: np.ndarray | None = None):
         self.b, self.span = buffer, span
-        self.h = prefix_hashes(buffer)
+        self.local = np.arange(len(buffer)) if local is None else local
+        powers, self.inverses = _power_tables(int(self.local.max()) + 1 if len(buffer) else 1)
+        self.h = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers[self.local], out=self.h[1:])
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes, ``span`` at most, by binary search on hashes."""
-        h, (_, inverses) = self.h, _power_tables(len(self.h))
-        hx, hy, ix, iy = h[x], h[y], inverses[x], inverses[y]
+        h = self.h
+        hx, hy, ix, iy = h[x], h[y], self.inverses[self.local[x]], self.inverses[self.local[y]]
         got = np.zeros(len(x), np.int64)
         step = 1 << (self.span.bit_length() - 1)
         while step:
@@ -546,7 +560,7 @@ class SuffixSort:
         return perm, np.cumsum(~same) - 1
 
 
-def _windows_found(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
+def _windows_found(rows: list[dict]) -> pa.RecordBatch:
     """The windows of a bucket's segments that a smaller document has."""
     ids = [np.frombuffer(r["o"], "<u4") for r in rows]
     doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
@@ -578,7 +592,10 @@ def _windows_found(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
     met = size[back] > 1
     held, window, group = held[met], window[met], group[met]
     if len(held):
-        sort, owner, start = SuffixSort(buffer), doc[tops], base[tops]
+        size = n[tops] + SPAN - 1
+        start = np.cumsum(size) - size
+        local = (np.arange(size.sum()) - np.repeat(start, size)).astype(np.int16)
+        sort, owner = SuffixSort(buffer[np.repeat(base[tops], size) + local], local=local), doc[tops]
         found = np.zeros(len(tops), np.int64)
         heads = np.append(np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], len(group))
         a = 0
@@ -596,28 +613,24 @@ def _windows_found(rows: list[dict]) -> Iterator[tuple[int, int, int, bytes]]:
         twin = np.nonzero((doc == doc[lead]) & (of[lead] >= 0))[0]  # the same segment in texts of one doc_id
         mask[twin] |= found[of[lead[twin]]]
     hit = np.nonzero(mask)[0]
-    yield from _code_rows(doc[hit], key[hit], _WINDOWS, _wide(pos[hit]), _wide(mask[hit] << shift[hit]))
+    return _code_rows(doc[hit], key[hit], _WINDOWS, _wide(pos[hit]), _wide(mask[hit] << shift[hit]))
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _by_bucket(batches):
-        yield from _chunks(_windows_found(rows), _CODE_TYPES, 20_000)
+        yield _windows_found(rows)
 
 
 def covered_bytes(size: int, codes: list[tuple[int, bytes]]) -> np.ndarray:
     """Which bytes of a text its codes cover."""
     edge = np.zeros(size + 1, np.int32)
 
-    def numbers(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        got = [_fields(p, 4, 4) for k, p in codes if k == kind]
-        return tuple(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x[i], "<u4").astype(np.int64) for x in got]]) for i in (0, 1))
-
-    start, end = numbers(_RUN)
+    start, end = _numbers([p for k, p in codes if k == _RUN]).T
     np.add.at(edge, start, 1)
     np.add.at(edge, end, -1)
-    pos, mask = numbers(_WINDOWS)
+    pos, mask = _numbers([p for k, p in codes if k == _WINDOWS]).T
     if len(pos):
-        first, again = numbers(_SAME)
+        first, again = _numbers([p for k, p in codes if k == _SAME]).T
         if len(first):  # what holds for a segment holds for its other places
             by = np.argsort(first, kind="stable")
             first, again = first[by], again[by]
