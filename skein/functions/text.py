@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -160,12 +162,18 @@ def path_match(a: Column, b: Column) -> Column:
     return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
 
 
+#: Directories, name beginnings, name endings and infixes of test files.
+TEST_DIRS = ("tests", "__tests__", "test", "spec")
+TEST_BEGINNINGS = ("test_", "tests_")
+TEST_ENDINGS = ("_test.go", "_test.py", "_test.rs", "_test.rb", "_spec.rb", "_test.dart", "_test.swift", "_test.kt", "_test.scala")
+TEST_INFIXES = (".test.", ".spec.")
+
+
 def is_test_file(path: Column) -> Column:
-    """Test directories, ``test_`` and ``_test`` names, ``.test.`` and ``.spec.`` infixes; case aside."""
-    p = F.lower(path)
-    directory = p.rlike("(^|/)(tests?|__tests__|specs?|testing)/")
-    name = F.element_at(F.split(p, "/"), -1)
-    return directory | name.rlike(r"^(test_|tests?\.)") | name.rlike(r"(_test|_tests|_spec)\.[^.]+$") | name.rlike(r"\.(test|spec)\.")
+    """Whether a path names a test, case aside; a directory counts below another one."""
+    either = lambda words: "|".join(re.escape(w) for w in words)
+    rule = f"/({either(TEST_DIRS)})/|(^|/)({either(TEST_BEGINNINGS)})[^/]*$|({either(TEST_ENDINGS)})$|({either(TEST_INFIXES)})[^/]*$"
+    return F.lower(path).rlike(rule)
 
 
 def glob_regex(pattern: str) -> str:

@@ -3,7 +3,7 @@
 A fixpoint loop or a plan that reads one expensive result several times must
 cut its lineage somewhere that outlives an executor.  Everything here goes to
 the folder the cluster names in ``spark.checkpoint.dir``; a private folder is
-made only where that setting is absent (tests, a laptop).
+made only where that setting is absent and the session runs on one machine.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -42,6 +44,13 @@ def table(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str = "step", **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`table`, with aggregates of its rows taken by the job that writes it."""
+    seen = Observation()
+    out = table(df.observe(seen, *[v.alias(k) for k, v in metrics.items()]), name)
+    return out, seen.get
+
+
 def drop_tables(keep: int = 0) -> None:
     """Delete the tables written so far, except the last ``keep``."""
     done, _written[:] = _written[: len(_written) - keep], _written[len(_written) - keep :]

@@ -8,7 +8,6 @@ from skein.functions.text import norm
 from skein.graph import NODE_SCHEMA, Graph, complete
 from skein.operators import cluster, outcomes, resolve
 from skein.queries.relational import GRAPH_SQL
-from skein.queries.walks import trade_graph
 from skein.sources.relational import read, relational_graph
 
 NOW = "2024-02-01"
@@ -85,11 +84,11 @@ def conflicts(spark, sf_dir):
 
 
 def communities(spark, sf_dir):
-    return cluster.communities(trade_graph(spark, sf_dir))
+    return cluster.communities(relational_graph(spark, sf_dir))
 
 
 def label_communities(spark, sf_dir):
-    return cluster.label_communities(trade_graph(spark, sf_dir))
+    return cluster.label_communities(relational_graph(spark, sf_dir))
 
 
 def heuristic_labels(spark, sf_dir):

@@ -5,33 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.queries.relational import GRAPH_SQL
-from skein.queries.walks import trade_graph
 from skein.sinks import formats
-from skein.sources.relational import backbone, read
+from skein.sources.relational import read, relational_graph
 
 
 def vis_nodes(spark, sf_dir):
-    return formats.vis_nodes(backbone(spark, sf_dir)).select("id", "label", "degree", "size", "font_size")
+    return formats.vis_nodes(relational_graph(spark, sf_dir)).select("id", "label", "degree", "size", "font_size")
 
 
 def display_ids(spark, sf_dir):
-    return formats.prune_for_display(backbone(spark, sf_dir), 100)
+    return formats.prune_for_display(relational_graph(spark, sf_dir), 100)
 
 
 def svg_layout(spark, sf_dir):
-    return formats.svg_layout(backbone(spark, sf_dir).nodes.where("source_file in ('nation', 'region')").select("id"))
+    return formats.svg_layout(relational_graph(spark, sf_dir).nodes.where("source_file in ('nation', 'region')").select("id"))
 
 
 def cypher_lines(spark, sf_dir):
-    return formats.cypher(backbone(spark, sf_dir))
+    return formats.cypher(relational_graph(spark, sf_dir))
 
 
 def turtle_lines(spark, sf_dir):
-    return formats.turtle(backbone(spark, sf_dir)).select("line")
+    return formats.turtle(relational_graph(spark, sf_dir)).select("line")
 
 
 def graphml_lines(spark, sf_dir):
-    return formats.graphml(backbone(spark, sf_dir))
+    return formats.graphml(relational_graph(spark, sf_dir))
 
 
 def variable_names(spark, sf_dir):
@@ -40,15 +39,15 @@ def variable_names(spark, sf_dir):
 
 
 def tree_overflow(spark, sf_dir):
-    return formats.tree_rows(backbone(spark, sf_dir), 20).groupBy("community", "source_file", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return formats.tree_rows(relational_graph(spark, sf_dir), 20).groupBy("community", "source_file", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def node_link_rows(spark, sf_dir):
-    return formats.node_link_rows(trade_graph(spark, sf_dir), compatible=True).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return formats.node_link_rows(relational_graph(spark, sf_dir), compatible=True).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 def wiki_pages(spark, sf_dir):
-    return formats.wiki_pages(backbone(spark, sf_dir)).select("name")
+    return formats.wiki_pages(relational_graph(spark, sf_dir)).select("name")
 
 
 QUERIES = {
@@ -65,10 +64,7 @@ QUERIES = {
 }
 
 _BACK = GRAPH_SQL + """
-, bn AS (SELECT * FROM nodes WHERE source_file IN ('region', 'nation', 'customer', 'supplier'))
-, be AS (SELECT * FROM edges WHERE relation IN ('in_region', 'in_nation'))
-, bu AS (SELECT source AS id, target AS other FROM be UNION ALL SELECT target, source FROM be)
-, bd AS (SELECT bn.id, count(bu.id) AS degree FROM bn LEFT JOIN bu USING (id) GROUP BY bn.id)
+, bn AS (SELECT * FROM nodes), be AS (SELECT * FROM edges), bd AS (SELECT * FROM degree)
 """
 _VAR = "regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g')"
 
@@ -89,16 +85,14 @@ SELECT '<urn:graph:' || replace(id, ':', '%3A') || '> rdfs:label "' || label ||
 UNION SELECT '<urn:graph:' || replace(source, ':', '%3A') || '> <urn:graph:rel/' || relation || '> <urn:graph:' || replace(target, ':', '%3A') || '> .' FROM be""",
     "graphml_lines": _BACK + """
 SELECT 0 AS part, '<node id="' || id || '"><data key="label">' || replace(label, '''', '&#39;') || '</data><data key="type">' || node_type || '</data><data key="file">' || source_file || '</data></node>' AS line FROM bn
-UNION ALL SELECT 1, '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data><data key="confidence">' || confidence || '</data><data key="weight">1.0</data></edge>' FROM be""",
+UNION ALL SELECT 1, '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data><data key="confidence">' || confidence || '</data><data key="weight">' || weight || '</data></edge>' FROM be""",
     "variable_names": """
 WITH i AS (SELECT DISTINCT replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '.' END) AS id FROM part), b AS (SELECT id, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS base FROM i)
 SELECT id, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '_' || (row_number() OVER (PARTITION BY base ORDER BY id) - 1) ELSE base END AS name FROM b""",
     "tree_overflow": _BACK + """
 , c AS (SELECT community, source_file, count(*) AS k FROM bn GROUP BY 1, 2)
 SELECT community, source_file, 'symbol' AS kind, least(k, 20) AS n FROM c UNION ALL SELECT community, source_file, 'overflow', 1 FROM c WHERE k > 20""",
-    "node_link_rows": """
-SELECT 0 AS part, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS n
-UNION ALL SELECT 1, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM lineitem WHERE l_quantity >= 49)""",
+    "node_link_rows": GRAPH_SQL + "SELECT 0 AS part, count(*) AS n FROM nodes UNION ALL SELECT 1, count(*) FROM edges",
     "wiki_pages": _BACK + """
 SELECT DISTINCT 'community_' || community AS name FROM bn UNION ALL
 SELECT 'node_' || replace(id, ':', '_') FROM bd WHERE degree >= (SELECT greatest(floor(2 * avg(degree)), 3) FROM bd)""",

@@ -8,7 +8,6 @@ from skein.functions import text
 from skein.graph import Graph
 from skein.operators import search
 from skein.queries.relational import GRAPH_SQL
-from skein.queries.walks import trade_graph
 from skein.sources.relational import read, relational_graph
 
 
@@ -63,11 +62,11 @@ def explain_node(spark, sf_dir):
 
 
 def query_graph(spark, sf_dir):
-    return search.query_graph(trade_graph(spark, sf_dir), "which suppliers in the ASIA region", budget=200)
+    return search.query_graph(relational_graph(spark, sf_dir), "which suppliers in the ASIA region", budget=200)
 
 
 def explore(spark, sf_dir):
-    return search.explore(trade_graph(spark, sf_dir), "ASIA region suppliers")
+    return search.explore(relational_graph(spark, sf_dir), "ASIA region suppliers")
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph, complete
 
@@ -77,10 +78,9 @@ def relational_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(relational_nodes(spark, sf_dir), relational_edges(spark, sf_dir))
 
 
-def backbone(spark: SparkSession, sf_dir: str) -> Graph:
-    """Regions, nations, customers and suppliers only: a small connected graph for walks."""
-    g = relational_graph(spark, sf_dir)
-    return Graph(
-        g.nodes.where(F.col("source_file").isin("region", "nation", "customer", "supplier")),
-        g.edges.where(F.col("relation").isin("in_region", "in_nation")),
-    )
+def followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of kind ``calls`` from a part to the part of the next line of its order."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    e = line.withColumn("after", after).where("after is not null").select(_id("p", "l_partkey").alias("source"), _id("p", "after").alias("target")).distinct()
+    return complete(e.withColumn("relation", F.lit("calls")), EDGE_SCHEMA)

@@ -135,3 +135,21 @@ def test_search(spark):
     assert search.resolve_label(g, "userM").first().id == "user"
     assert search.is_ambiguous(search.resolve_label(g, "a")).count() == 1
     assert {(r.direction, r.relation, r.n) for r in search.explain(g, "user").collect()} == {("in", "calls", 1), ("out", "calls", 2)}
+
+
+def test_walks_run_to_their_end(spark):
+    n = 66  # more steps than any fixed number of rounds that would do for small graphs
+    ids = [f"n{i:03d}" for i in range(n)]
+    g = Graph(nodes_of(spark, [{"id": i} for i in ids]), edges_of(spark, [{"source": a, "target": b, "relation": "calls", "weight": 2.0} for a, b in zip(ids, ids[1:])]))
+    few = Graph(g.nodes, g.edges.where(f"source < '{ids[20]}'"))
+    assert traverse.shortest_path(g, ids[0], ids[-1]) == ids
+    path, cost = traverse.weighted_path(few, ids[0], ids[15])
+    assert path == ids[:16] and abs(cost - 7.5) < 1e-9
+
+
+def test_depth_first_walk_marks_when_it_stacks(spark):
+    pairs = [("a", "b"), ("a", "c"), ("c", "b"), ("b", "d"), ("d", "e")]
+    g = Graph(nodes_of(spark, [{"id": i} for i in "abcde"]), edges_of(spark, [{"source": a, "target": b, "relation": "calls"} for a, b in pairs]))
+    walk = lambda depth: [(r.id, r.depth) for r in traverse.dfs(g, ["a"], depth).orderBy("place").collect()]
+    assert walk(2) == [("a", 0), ("c", 1), ("b", 1), ("d", 2)]
+    assert walk(0) == [("a", 0)] and traverse.dfs(g, ["x"], 2).count() == 0
