@@ -47,6 +47,8 @@ RADIUS = 3
 PICK = 2
 TILE = 512
 CELL_ROWS = 50_000
+HOT_SHARE = 1000
+HOT_PARTS = 64
 SHINGLE = 3
 SEED = 42
 _CHUNK = 1 << 16
@@ -218,13 +220,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     fps = table(fingerprints(docs), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    distinct = fps.groupBy("fp").agg(least.alias("b"))
-    distinct = table(distinct.select("fp", F.struct("b.none", "b.doc_id", "b.text_key", "fp").alias("node")), "distinct")
+    distinct = fps.groupBy("fp").agg(least.alias("b"), F.count(F.lit(1)).alias("n"))
+    distinct = table(distinct.select("fp", "n", F.struct("b.none", "b.doc_id", "b.text_key", "fp").alias("node")), "distinct")
     comps = connected_components(fingerprint_edges(distinct, radius)).select(F.col("node.fp").alias("c_fp"), "component")
-    named = distinct.join(comps, F.col("fp") == F.col("c_fp"), "left").select(
-        F.col("fp").alias("n_fp"), F.coalesce("component", "node").alias("top")
+    # Fingerprints of more than 1 / HOT_SHARE of all rows, fewer than HOT_SHARE: their rows are dealt over parts.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(distinct.where(F.col("n") * HOT_SHARE > total).select(F.col("fp").alias("h_fp")))
+    named = distinct.join(comps, F.col("fp") == F.col("c_fp"), "left").join(hot, F.col("fp") == F.col("h_fp"), "left").select(
+        F.col("fp").alias("n_fp"), F.coalesce("component", "node").alias("top"),
+        F.explode(F.sequence(F.lit(0), F.when(F.col("h_fp").isNull(), 0).otherwise(HOT_PARTS - 1))).alias("n_part"),
     )
-    return fps.join(named, fps.fp == F.col("n_fp")).select(
+    part = F.when(F.col("h_fp").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(HOT_PARTS)).cast("int"))
+    rows = fps.join(hot, F.col("fp") == F.col("h_fp"), "left").withColumn("part", part)
+    return rows.join(named, (F.col("fp") == F.col("n_fp")) & (F.col("part") == F.col("n_part"))).select(
         "doc_id", "text_key", "fp", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("rep_key")
     )
 
