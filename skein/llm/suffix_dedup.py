@@ -62,7 +62,7 @@ SPAN = 50
 GRAM = 20
 WIDTH = SPAN - GRAM + 1
 CHUNK = 1 << 18
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 16_000_000
 BUCKET_ENTRIES = 500_000
 SORT_ROWS = 200_000
 DENSITY = 2 / (WIDTH + 1)
@@ -203,7 +203,7 @@ def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BLOB_FIELDS = ("docs", "keys", "a", "e", "o", "pos", "shape")
-_CODE_SCHEMA = "order long, key long, kind int, payload binary"
+_CODE_SCHEMA = "home int, kind int, payload binary"
 
 
 def _arrow(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -211,43 +211,34 @@ def _arrow(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], list(types))
 
 
-_CODE_TYPES = {"order": pa.int64(), "key": pa.int64(), "kind": pa.int32(), "payload": pa.binary()}
+_CODE_TYPES = {"home": pa.int32(), "kind": pa.int32(), "payload": pa.binary()}
 _MEETING_TYPES = {"bucket": pa.int32(), **_CODE_TYPES, **{f: pa.binary() for f in _BLOB_FIELDS}}
 _CONTEXT_FIELDS = ("docs", "keys", "o", "pos", "shape", "shift", "g", "e", "bytes")
 _CONTEXT_TYPES = {"bucket": pa.int32(), **{f: pa.binary() for f in _CONTEXT_FIELDS}}
+_RECORDS = {
+    _RUN: np.dtype([("doc", "<i8"), ("key", "<i8"), ("x", "<u4"), ("y", "<u4")]),
+    _ASK: np.dtype([("doc", "<i8"), ("key", "<i8"), ("pos", "<u4"), ("shape", "<u2"), ("g", "u1", 6), ("e", "<u4")]),
+}
+_RECORDS[_SAME] = _RECORDS[_WINDOWS] = _RECORDS[_RUN]
 
 
-def _code_rows(doc: np.ndarray, key: np.ndarray, kind: int, *fields: np.ndarray) -> pa.RecordBatch:
-    """One row per text, its payload the records (rows of bytes, field by field) of its entries."""
-    record = np.concatenate(fields, axis=1)
-    by = np.lexsort((key, doc))
-    doc, key = doc[by], key[by]
-    new = np.nonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[0] + 1
-    first = np.concatenate([[0], new]) if len(doc) else new
-    offsets = (np.append(first, len(doc)) * record.shape[1]).astype(np.int32)
-    payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(record[by].tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[first]), pa.array(key[first]), pa.array(np.full(len(first), kind, np.int32)), payload], ["order", "key", "kind", "payload"]
-    )
-
-
-def _wide(x: np.ndarray, kind: str = "<u4") -> np.ndarray:
-    """Each number as a row of bytes."""
-    x = np.ascontiguousarray(x.astype(kind))
-    return x.view(np.uint8).reshape(len(x), x.itemsize)
-
-
-def _packed(x: np.ndarray) -> np.ndarray:
-    """The upper six bytes of each number as a row."""
-    return np.ascontiguousarray(_wide(x, "<u8")[:, 2:])
-
-
-def _numbers(payloads: list[bytes]) -> np.ndarray:
-    """Records of two numbers of four bytes."""
-    return np.frombuffer(b"".join(payloads), "<u4").reshape(-1, 2).astype(np.int64)
+def _code_rows(homes: int, kind: int, doc: np.ndarray, key: np.ndarray, *fields: np.ndarray) -> pa.RecordBatch:
+    """Records of (doc, key, fields), a row for each home: texts of one home meet their records in one place."""
+    home = (doc ^ key) % homes
+    by = np.lexsort((key, doc, home))
+    home = home[by]
+    records = np.empty(len(by), _RECORDS[kind])
+    for name, values in zip(records.dtype.names, (doc, key, *fields)):
+        records[name] = values[by]
+    first = np.nonzero(np.concatenate([[True], home[1:] != home[:-1]]))[0] if len(by) else by
+    offsets = (np.append(first, len(by)) * records.itemsize).astype(np.int32)
+    payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(home[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), payload], list(_CODE_TYPES))
 
 
-_ASK_BYTES = 20
+def _six(x: np.ndarray) -> np.ndarray:
+    """The upper six bytes of each number, as rows."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
 
 
 def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
@@ -263,7 +254,7 @@ def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) ->
 
 def _passing(codes: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """Code rows that only pass through a bucket, any one."""
-    bucket = pa.array((codes.column("key").to_numpy() % buckets).astype(np.int32))
+    bucket = pa.array(codes.column("home").to_numpy() % np.int32(buckets))
     nothing = [pa.nulls(codes.num_rows, pa.binary())] * len(_BLOB_FIELDS)
     return pa.RecordBatch.from_arrays([bucket, *codes.columns, *nothing], list(_MEETING_TYPES))
 
@@ -314,10 +305,10 @@ def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets
         z = s + np.concatenate([n[settled], n[entry[hit]]]) + SPAN - 1
         s, z = _runs(s, z)
         k = np.searchsorted(base, s, "right") - 1
-        yield _passing(_code_rows(docs[k], keys[k], _RUN, _wide(s - base[k]), _wide(z - base[k])), buckets)
+        yield _passing(_code_rows(buckets, _RUN, docs[k], keys[k], s - base[k], z - base[k]), buckets)
     entry, again = entry[~hit], again[~hit]
     if len(entry):
-        yield _passing(_code_rows(docs[o[entry]], keys[o[entry]], _SAME, _wide(pos[entry]), _wide(again)), buckets)
+        yield _passing(_code_rows(buckets, _SAME, docs[o[entry]], keys[o[entry]], pos[entry], again), buckets)
     left = by[~settled[by]]
     bucket = ((a[left] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
     spread = np.argsort(bucket, kind="stable")
@@ -327,7 +318,7 @@ def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets
         at = left[spread[edges[k] : edges[k + 1]]]
         named, local = np.unique(o[at], return_inverse=True)
         rows.append((
-            int(k), None, None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), _pack(e[at]),
+            int(k), None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), _pack(e[at]),
             local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(), (n[at] * 64 + off[at]).astype("<u2").tobytes(),
         ))
     for a in range(0, len(rows), 64):
@@ -355,7 +346,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _asks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+def _asks(rows: list[dict], homes: int) -> Iterator[pa.RecordBatch]:
     """For the bytes of every segment whose anchor several documents of the bucket have."""
     ids = [np.frombuffer(r["o"], "<u4") for r in rows]
     doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
@@ -369,7 +360,7 @@ def _asks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     hot = np.repeat(size > HOT_ENTRIES, size)
 
     def ask(at: np.ndarray, group: np.ndarray, windows: int) -> pa.RecordBatch:
-        return _code_rows(doc[at], key[at], _ASK, _wide(pos[at]), _wide(shape[at].astype(np.int64) + windows * 4096), _packed(group), _packed(e[at]))
+        return _code_rows(homes, _ASK, doc[at], key[at], pos[at], shape[at] + np.uint16(windows * 4096), _six(group), e[at] >> np.uint64(32))
 
     plain = np.nonzero(several & ~hot)[0]
     yield ask(plain, a[plain], 0)
@@ -393,45 +384,63 @@ def _asks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     yield ask(tops, a[tops], 1)
 
 
-def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def settled() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blob = pa.compute.equal(b.column("kind"), _BLOB)
-            codes = b.filter(pa.compute.invert(blob)).select(list(_CODE_TYPES))
-            if codes.num_rows:
-                ready.append(codes)
-            yield b.filter(blob)
-
-    ready: list[pa.RecordBatch] = []
-    for rows in _by_bucket(settled()):
+def _match_segments(homes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                blob = pa.compute.equal(b.column("kind"), _BLOB)
+                codes = b.filter(pa.compute.invert(blob)).select(list(_CODE_TYPES))
+                if codes.num_rows:
+                    ready.append(codes)
+                yield b.filter(blob)
+
+        for rows in _by_bucket(blobs()):
+            yield from ready
+            ready.clear()
+            yield from _asks(rows, homes)
         yield from ready
-        ready.clear()
-        yield from _asks(rows)
-    yield from ready
 
+    return run
 
-def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[tuple[int, bytes]]]]:
-    """Each text with the codes of its doc_id and key; the input is sorted by (order, key, kind)."""
-    now, codes = None, []
-    for b in batches:
-        order, key, kind, payload = b.column("order").to_pylist(), b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("payload")
-        for i in range(b.num_rows):
-            own = order[i], key[i]
-            if own != now:
-                now, codes = own, []
-            if kind[i] == _TEXT:
-                yield *own, payload[i].as_py(), codes
-            else:
-                codes.append((kind[i], payload[i].as_py()))
 
+_NOTHING: dict[int, np.ndarray] = {}
 
-def _context_rows(held: list[tuple[int, int, bytes, list[bytes]]], buckets: int) -> Iterator[tuple]:
+
+def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, dict[int, np.ndarray]]]:
+    """Each text with its records by kind; the input is sorted by (home, kind), texts last."""
+    now, payloads, of = None, {}, None
+    for b in batches:
+        home, kind = b.column("home").to_pylist(), b.column("kind").to_pylist()
+        order, key, payload = b.column("order").to_pylist(), b.column("key").to_pylist(), b.column("payload")
+        for i in range(b.num_rows):
+            if home[i] != now:
+                now, payloads, of = home[i], {}, None
+            if kind[i] != _TEXT:
+                payloads.setdefault(kind[i], []).append(payload[i].as_py())
+                continue
+            if of is None:  # all records of the home are here
+                of = {}
+                for k, parts in payloads.items():
+                    records = np.frombuffer(b"".join(parts), _RECORDS[k])
+                    by = np.lexsort((records["key"], records["doc"]))
+                    records = records[by]
+                    doc, own = records["doc"], records["key"]
+                    edges = np.concatenate([[0], np.nonzero((doc[1:] != doc[:-1]) | (own[1:] != own[:-1]))[0] + 1, [len(records)]])
+                    for s, t in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                        of.setdefault((int(doc[s]), int(own[s])), {})[k] = records[s:t]
+                payloads = {}
+            yield order[i], key[i], payload[i].as_py(), of.get((order[i], key[i]), _NOTHING)
+
+
+def _context_rows(held: list[tuple[int, int, bytes, np.ndarray]], buckets: int) -> Iterator[tuple]:
     docs, keys = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
     buffer, base = _laid_out([h[2] for h in held])
-    asked = np.frombuffer(b"".join(p for *_, asks in held for p in asks), np.uint8).reshape(-1, _ASK_BYTES)
-    o = np.repeat(np.arange(len(held)), [sum(map(len, asks)) // _ASK_BYTES for *_, asks in held])
-    pos, shape = (np.ascontiguousarray(asked[:, a : a + 4]).view("<u4").reshape(-1).astype(np.int64) for a in (0, 4))
-    g, e = (_unpack(asked[:, a : a + 6].tobytes()) for a in (8, 14))
+    asked = np.concatenate([h[3] for h in held])
+    o = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+    pos, shape = asked["pos"].astype(np.int64), asked["shape"].astype(np.int64)
+    g, e = _unpack(asked["g"].tobytes()), asked["e"].astype(np.uint64)
     windows, n, off, shift = shape >= 4096, shape % 4096 // 64, shape % 64, np.zeros(len(o), np.int64)
     target = g
     if windows.any():
@@ -440,7 +449,7 @@ def _context_rows(held: list[tuple[int, int, bytes, list[bytes]]], buckets: int)
         step = np.arange(len(each)) - np.repeat(np.cumsum(n[w]) - n[w], n[w])
         h = prefix_hashes(buffer)
         start = base[o[each]] + pos[each] + step
-        own = _mix(substring_hashes(h, start, start + SPAN)) & _CUT
+        own = _mix(substring_hashes(h, start, start + SPAN)) >> np.uint64(32)
         group = _mix(g[each] + (step - off[each] + WIDTH).astype(np.uint64)) & _CUT
         plain = np.nonzero(~windows)[0]
         both = np.concatenate([plain, each])
@@ -460,7 +469,7 @@ def _context_rows(held: list[tuple[int, int, bytes, list[bytes]]], buckets: int)
         every = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         yield (
             int(k), docs[named].tobytes(), keys[named].tobytes(), local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(),
-            (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), _pack(e[at]), buffer[every].tobytes(),
+            (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), e[at].astype("<u4").tobytes(), buffer[every].tobytes(),
         )
 
 
@@ -468,11 +477,11 @@ def _contexts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for order, key, raw, codes in _with_codes(batches):
-            asks = [p for k, p in codes if k == _ASK]
-            if asks:
+            asks = codes.get(_ASK)
+            if asks is not None:
                 held.append((order, key, raw, asks))
                 size += len(raw)
-            if size > BATCH_BYTES:
+            if size > BATCH_BYTES // 2:
                 yield from _chunks(_context_rows(held, buckets), _CONTEXT_TYPES, 16)
                 held, size = [], 0
         if held:
@@ -560,11 +569,11 @@ class SuffixSort:
         return perm, np.cumsum(~same) - 1
 
 
-def _windows_found(rows: list[dict]) -> pa.RecordBatch:
+def _windows_found(rows: list[dict], homes: int) -> pa.RecordBatch:
     """The windows of a bucket's segments that a smaller document has."""
     ids = [np.frombuffer(r["o"], "<u4") for r in rows]
     doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
-    g, e = (np.concatenate([_unpack(r[f]) for r in rows]) for f in ("g", "e"))
+    g, e = np.concatenate([_unpack(r["g"]) for r in rows]), np.concatenate([np.frombuffer(r["e"], "<u4") for r in rows])
     pos, shape, shift = (np.concatenate([np.frombuffer(r[f], t) for r in rows]).astype(np.int64) for f, t in (("pos", "<u4"), ("shape", "<u2"), ("shift", "u1")))
     n, off = shape // 64, shape % 64
     buffer = np.frombuffer(b"".join([*[r["bytes"] for r in rows], bytes(_ROOM)]), np.uint8)
@@ -613,24 +622,31 @@ def _windows_found(rows: list[dict]) -> pa.RecordBatch:
         twin = np.nonzero((doc == doc[lead]) & (of[lead] >= 0))[0]  # the same segment in texts of one doc_id
         mask[twin] |= found[of[lead[twin]]]
     hit = np.nonzero(mask)[0]
-    return _code_rows(doc[hit], key[hit], _WINDOWS, _wide(pos[hit]), _wide(mask[hit] << shift[hit]))
+    return _code_rows(homes, _WINDOWS, doc[hit], key[hit], pos[hit], mask[hit] << shift[hit])
 
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches):
-        yield _windows_found(rows)
+def _sort_suffixes(homes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            yield _windows_found(rows, homes)
+
+    return run
 
 
-def covered_bytes(size: int, codes: list[tuple[int, bytes]]) -> np.ndarray:
-    """Which bytes of a text its codes cover."""
+def covered_bytes(size: int, codes: dict[int, np.ndarray]) -> np.ndarray:
+    """Which bytes of a text its records cover."""
     edge = np.zeros(size + 1, np.int32)
 
-    start, end = _numbers([p for k, p in codes if k == _RUN]).T
+    def numbers(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        own = codes.get(kind)
+        return (np.zeros(0, np.int64),) * 2 if own is None else (own["x"].astype(np.int64), own["y"].astype(np.int64))
+
+    start, end = numbers(_RUN)
     np.add.at(edge, start, 1)
     np.add.at(edge, end, -1)
-    pos, mask = _numbers([p for k, p in codes if k == _WINDOWS]).T
+    pos, mask = numbers(_WINDOWS)
     if len(pos):
-        first, again = _numbers([p for k, p in codes if k == _SAME]).T
+        first, again = numbers(_SAME)
         if len(first):  # what holds for a segment holds for its other places
             by = np.argsort(first, kind="stable")
             first, again = first[by], again[by]
@@ -666,9 +682,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        kind, payload = b.column("kind").to_pylist(), b.column("payload")
+        for i in range(b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(payload[i].as_py(), _RECORDS[kind[i]])["doc"]))], ["order"])
+
+
 def _with(codes: DataFrame) -> Column | None:
     """Whether a row's ``order`` may be one of ``codes``; None if there are too many for a bitmap to tell."""
-    n = codes.select(F.approx_count_distinct("order")).first()[0]
+    codes = table(codes.select("kind", "payload").mapInArrow(_orders, "order long").distinct(), "orders")
+    n = codes.count()
     size = 1 << max(16, (16 * n).bit_length())
     if size > MOST_BITS:
         return None
@@ -695,16 +719,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     blobs = lambda fields: ", ".join(f"{f} binary" for f in fields)
     entries = base.where(F.octet_length("raw") >= SPAN).mapInArrow(_meeting(buckets), f"bucket int, {_CODE_SCHEMA}, {blobs(_BLOB_FIELDS)}")
-    matched = table(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments, _CODE_SCHEMA), "segments")
+    matched = table(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments(buckets), _CODE_SCHEMA), "segments")
 
     def meet(codes: DataFrame, hit: Column | None) -> DataFrame:
         own = base if hit is None else base.where(hit)
-        texts = own.select("order", "key", F.lit(_TEXT).alias("kind"), F.col("raw").alias("payload"))
-        return codes.unionAll(texts).repartition("order", "key").sortWithinPartitions("order", "key", "kind")
+        home = F.pmod(F.col("order").bitwiseXOR(F.col("key")), F.lit(buckets)).cast("int")
+        texts = own.select(home.alias("home"), F.lit(_TEXT).alias("kind"), "order", "key", F.col("raw").alias("payload"))
+        none = F.lit(None).cast("long")
+        return codes.select("home", "kind", none.alias("order"), none.alias("key"), "payload").unionAll(texts).repartition(buckets, "home").sortWithinPartitions("home", "kind")
 
     asks = matched.where(F.col("kind") == _ASK)
     contexts = meet(asks, _with(asks)).mapInArrow(_contexts(buckets), f"bucket int, {blobs(_CONTEXT_FIELDS)}")
-    found = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes, _CODE_SCHEMA), "windows")
+    found = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes(buckets), _CODE_SCHEMA), "windows")
 
     runs = matched.where(F.col("kind") == _RUN)
     answers = runs.unionAll(found)

@@ -72,12 +72,16 @@ def run_steps(rows, buckets=5):
         return pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in key]).to_batches() if batches else []
 
     def texts_and(codes, *kinds):
-        texts = pa.RecordBatch.from_arrays([order, keys, pa.array([s._TEXT] * len(rows), pa.int32()), batch.column(2)], list(s._CODE_TYPES))
+        nobody = pa.nulls
+        home = pa.array(((order.to_numpy() ^ keys.to_numpy()) % buckets).astype(np.int32))
+        names = ["home", "kind", "order", "key", "payload"]
+        texts = pa.RecordBatch.from_arrays([home, pa.array([s._TEXT] * len(rows), pa.int32()), order, keys, batch.column(2)], names)
         codes = [c.filter(pa.compute.is_in(c.column("kind"), pa.array(kinds, pa.int32()))) for c in codes]
-        return by([*codes, texts], "order", "key", "kind")
+        none = lambda c: nobody(c.num_rows, pa.int64())
+        return by([*[pa.RecordBatch.from_arrays([c.column(0), c.column(1), none(c), none(c), c.column(2)], names) for c in codes], texts], "home", "kind")
 
-    matched = list(s._match_segments(by(s._meeting(buckets)([batch]), "bucket")))
-    parts = list(s._sort_suffixes(by(s._contexts(buckets)(texts_and(matched, s._ASK)), "bucket")))
+    matched = list(s._match_segments(buckets)(by(s._meeting(buckets)([batch]), "bucket")))
+    parts = list(s._sort_suffixes(buckets)(by(s._contexts(buckets)(texts_and(matched, s._ASK)), "bucket")))
     got = Counter()
     for out in s._finish(texts_and([*matched, *parts], s._RUN, s._SAME, s._WINDOWS)):
         got.update(zip([None if i == s.NO_ID else i for i in out.column(0).to_pylist()], *[c.to_pylist() for c in out.columns[1:]]))
