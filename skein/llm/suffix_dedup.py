@@ -28,7 +28,7 @@ segments is split: holders of one segment are dealt in parts of so many, the
 smallest holder goes to each of them, and the windows of its different segments
 are dealt by their own hash (there alone a collision of two 48-bit hashes would
 hide a match).  What a third of all documents share reaches its
-bucket once per batch, 22 bytes each; a bucket holds about ``BUCKET_ENTRIES``
+bucket once per batch, 18 bytes each; a bucket holds about ``BUCKET_ENTRIES``
 segments however large the input is, suffixes are sorted ``SORT_ROWS`` at a time, and
 long texts are worked on in chunks.
 
@@ -62,7 +62,7 @@ SPAN = 50
 GRAM = 20
 WIDTH = SPAN - GRAM + 1
 CHUNK = 1 << 18
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 12_000_000
 BUCKET_ENTRIES = 500_000
 SORT_ROWS = 200_000
 DENSITY = 2 / (WIDTH + 1)
@@ -241,6 +241,17 @@ def _six(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
 
 
+def _places(local: np.ndarray, n: int) -> bytes:
+    """Places in a list of ``n`` texts, in two bytes each where they fit."""
+    return local.astype("<u2" if n <= 1 << 16 else "<u4").tobytes()
+
+
+def _listed(row: dict, name: str) -> np.ndarray:
+    """The entries' values of a list with a row per text."""
+    n = len(row["pos"]) // 4
+    return np.frombuffer(row[name], np.int64)[np.frombuffer(row["o"], "<u2" if len(row["o"]) == 2 * n else "<u4")]
+
+
 def _chunks(rows: Iterator[tuple], types: dict[str, pa.DataType], most: int) -> Iterator[pa.RecordBatch]:
     part = []
     for row in rows:
@@ -318,8 +329,8 @@ def _batch_entries(order: list[int], keys: list[int], raws: list[bytes], buckets
         at = left[spread[edges[k] : edges[k + 1]]]
         named, local = np.unique(o[at], return_inverse=True)
         rows.append((
-            int(k), None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), _pack(e[at]),
-            local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(), (n[at] * 64 + off[at]).astype("<u2").tobytes(),
+            int(k), None, _BLOB, None, docs[named].tobytes(), keys[named].tobytes(), _pack(a[at]), (e[at] >> np.uint64(32)).astype("<u4").tobytes(),
+            _places(local, len(named)), pos[at].astype("<u4").tobytes(), (n[at] * 64 + off[at]).astype("<u2").tobytes(),
         ))
     for a in range(0, len(rows), 64):
         yield _arrow(rows[a : a + 64], _MEETING_TYPES)
@@ -348,9 +359,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 def _asks(rows: list[dict], homes: int) -> Iterator[pa.RecordBatch]:
     """For the bytes of every segment whose anchor several documents of the bucket have."""
-    ids = [np.frombuffer(r["o"], "<u4") for r in rows]
-    doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
-    a, e = (np.concatenate([_unpack(r[f]) for r in rows]) for f in ("a", "e"))
+    doc, key = (np.concatenate([_listed(r, f) for r in rows]) for f in ("docs", "keys"))
+    a, e = np.concatenate([_unpack(r["a"]) for r in rows]), np.concatenate([np.frombuffer(r["e"], "<u4") for r in rows])
     pos, shape = (np.concatenate([np.frombuffer(r[f], t) for r in rows]) for f, t in (("pos", "<u4"), ("shape", "<u2")))
     by = np.lexsort((doc, e, a))
     doc, key, a, e, pos, shape = (x[by] for x in (doc, key, a, e, pos, shape))
@@ -360,7 +370,7 @@ def _asks(rows: list[dict], homes: int) -> Iterator[pa.RecordBatch]:
     hot = np.repeat(size > HOT_ENTRIES, size)
 
     def ask(at: np.ndarray, group: np.ndarray, windows: int) -> pa.RecordBatch:
-        return _code_rows(homes, _ASK, doc[at], key[at], pos[at], shape[at] + np.uint16(windows * 4096), _six(group), e[at] >> np.uint64(32))
+        return _code_rows(homes, _ASK, doc[at], key[at], pos[at], shape[at] + np.uint16(windows * 4096), _six(group), e[at])
 
     plain = np.nonzero(several & ~hot)[0]
     yield ask(plain, a[plain], 0)
@@ -373,7 +383,7 @@ def _asks(rows: list[dict], homes: int) -> Iterator[pa.RecordBatch]:
     first = np.nonzero(new)[0]
     nth = np.arange(len(wide)) - first[np.cumsum(new) - 1]
     part = nth // HOT_ENTRIES
-    group = _mix(_mix(a[wide] ^ _mix(e[wide])) + part.astype(np.uint64)) & _CUT
+    group = _mix(_mix(a[wide] ^ _mix(e[wide].astype(np.uint64))) + part.astype(np.uint64)) & _CUT
     holders = np.diff(np.append(first, len(wide)))[np.cumsum(new) - 1]
     held = holders > 1
     yield ask(wide[held], group[held], 0)
@@ -468,7 +478,7 @@ def _context_rows(held: list[tuple[int, int, bytes, np.ndarray]], buckets: int)
         start = base[o[at]] + pos[at] + shift[at]
         every = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         yield (
-            int(k), docs[named].tobytes(), keys[named].tobytes(), local.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(),
+            int(k), docs[named].tobytes(), keys[named].tobytes(), _places(local, len(named)), pos[at].astype("<u4").tobytes(),
             (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), e[at].astype("<u4").tobytes(), buffer[every].tobytes(),
         )
 
@@ -571,8 +581,7 @@ class SuffixSort:
 
 def _windows_found(rows: list[dict], homes: int) -> pa.RecordBatch:
     """The windows of a bucket's segments that a smaller document has."""
-    ids = [np.frombuffer(r["o"], "<u4") for r in rows]
-    doc, key = (np.concatenate([np.frombuffer(r[f], np.int64)[i] for i, r in zip(ids, rows)]) for f in ("docs", "keys"))
+    doc, key = (np.concatenate([_listed(r, f) for r in rows]) for f in ("docs", "keys"))
     g, e = np.concatenate([_unpack(r["g"]) for r in rows]), np.concatenate([np.frombuffer(r["e"], "<u4") for r in rows])
     pos, shape, shift = (np.concatenate([np.frombuffer(r[f], t) for r in rows]).astype(np.int64) for f, t in (("pos", "<u4"), ("shape", "<u2"), ("shift", "u1")))
     n, off = shape // 64, shape % 64
@@ -683,10 +692,24 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)))], ["order"])
+
     for b in batches:
         kind, payload = b.column("kind").to_pylist(), b.column("payload")
         for i in range(b.num_rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(payload[i].as_py(), _RECORDS[kind[i]])["doc"]))], ["order"])
+            seen.append(np.unique(np.frombuffer(payload[i].as_py(), _RECORDS[kind[i]])["doc"]))
+            size += len(seen[-1])
+            if size > 4_000_000:
+                seen = [np.unique(np.concatenate(seen))]
+                size = len(seen[0])
+                if size > 2_000_000:
+                    yield out()
+                    seen, size = [], 0
+    if seen:
+        yield out()
 
 
 def _with(codes: DataFrame) -> Column | None:
