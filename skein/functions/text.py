@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-
 from functools import reduce
 
 from pyspark.sql import Column
@@ -91,6 +90,30 @@ def cypher_escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
+def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def js_escape(text: Column) -> Column:
+    return _replaced(text, ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def redis_escape(text: Column) -> Column:
+    """For a double-quoted argument; a Cypher statement is escaped for Cypher first."""
+    return _replaced(text, ("\\", "\\\\"), ('"', '\\"'))
+
+
+def yaml_quote(text: Column) -> Column:
+    """A double-quoted scalar on one line."""
+    return F.concat(F.lit('"'), _replaced(text, ("\\", "\\\\"), ('"', '\\"'), ("\n", " "), ("\r", " ")), F.lit('"'))
+
+
+def mermaid_escape(text: Column) -> Column:
+    """What a diagram reads as syntax goes, arrows become words, the rest is escaped for HTML."""
+    plain = F.regexp_replace(_replaced(text, ('"', "'"), ("|", " ")), "[`#{}]", "")
+    return html_escape(F.btrim(F.regexp_replace(F.regexp_replace(plain, "-?->>?", " to "), r"\s+", " ")))
+
+
 def sanitize_label(label: Column) -> Column:
     """Control characters dropped, 256 characters, escaped."""
     return html_escape(F.substring(F.regexp_replace(label, r"\p{Cntrl}", ""), 1, 256))
@@ -243,3 +266,64 @@ def days_between(a: Column, b: Column) -> Column:
 def decay(age_days: Column, half_life: float = 30.0) -> Column:
     """0.5 to the age in half-lives; a negative age counts as 0."""
     return F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life)
+
+
+def human_size(n: Column) -> Column:
+    """Bytes in units of 1024 with one decimal; whole bytes below."""
+    out = F.format_string("%d B", n.cast("long"))
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(n >= 1024**i, F.format_string(f"%.1f {unit}", n / float(1024**i))).otherwise(out)
+    return out
+
+
+def version_key(text: Column) -> Column:
+    """A sortable key of N[.N[.N]] with an optional leading v and a tag after a dash, which sorts below none; null for others."""
+    core = F.regexp_replace(F.regexp_replace(F.btrim(text), "^v+", ""), r"\+.*$", "")
+    whole = r"^([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:-(.+))?$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(core, whole, i), F.lit("")).cast("long"), F.lit(0))
+    tag = F.regexp_extract(core, whole, 4)
+    return F.when(core.rlike(whole), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (tag == "").alias("final"), tag.alias("tag")))
+
+
+def within_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` UTF-8 bytes."""
+    chars = F.filter(F.split(F.substring(text, 1, most), ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("t"), F.lit(True).alias("open"))
+
+    def step(acc: Column, c: Column) -> Column:
+        n = acc["n"] + F.octet_length(c)
+        fits = acc["open"] & (n <= most)
+        return F.struct(F.when(fits, n).otherwise(acc["n"]).alias("n"), F.when(fits, F.concat(acc["t"], c)).otherwise(acc["t"]).alias("t"), fits.alias("open"))
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.aggregate(chars, start, step)["t"])
+
+
+def fnv_digest(text: Column) -> Column:
+    """The upper half of the 64-bit FNV-1a hash of the UTF-8 bytes as eight hexadecimal digits."""
+    import pandas as pd
+
+    def run(texts):
+        out = []
+        for t in texts:
+            h = 0xCBF29CE484222325
+            for b in (t or "").encode():
+                h = (h ^ b) * 0x100000001B3 % (1 << 64)
+            out.append(f"{h >> 32:08x}")
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)
+
+
+def salvaged_pairs(text: Column) -> Column:
+    """Map of number to name from a model's answer: fences and prose around the pairs do not matter; names of 80 characters."""
+    pair = r'"?([0-9]+)"?\s*:\s*"((?:[^"\\]|\\.)*)"'
+    keys, names = F.regexp_extract_all(text, F.lit(pair), F.lit(1)), F.regexp_extract_all(text, F.lit(pair), F.lit(2))
+    tidy = F.transform(names, lambda n: F.substring(F.btrim(F.regexp_replace(F.regexp_replace(n, r'\\(.)', "$1"), r"\s+", " ")), 1, 80))
+    rows = F.filter(F.arrays_zip(F.transform(keys, lambda k: k.cast("int")).alias("k"), tidy.alias("n")), lambda r: r["n"] != "")
+    first = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, 1, i), lambda q: q["k"] == r["k"]))
+    return F.map_from_entries(first)
+
+
+def quote_identifier(name: Column) -> Column:
+    """A lower-case SQL identifier as it is, any other in double quotes."""
+    return F.when(name.rlike("^[a-z_][a-z0-9_]*$"), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))

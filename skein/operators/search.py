@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import search_tokens
 from skein.graph import Graph
+from skein.operators.build import drop_dangling
 from skein.operators.traverse import bfs
 
 LABEL, ID, FILE = 2.0, 1.0, 0.5
@@ -75,6 +78,22 @@ def resolve_label(g: Graph, query: str, top_n: int = 5) -> DataFrame:
     return n.select("id", "label", "tier", symbol.alias("is_symbol"), "degree").orderBy(F.desc("tier"), F.desc("is_symbol"), F.desc("degree"), "id").limit(top_n)
 
 
+def suggest(g: Graph, query: str, top_n: int = 5) -> DataFrame:
+    """Nodes whose label holds the query or a part of it of three letters or more, best connected first."""
+    q = query.lower()
+    hit = F.lower("label").contains(q)
+    for part in re.split(r"[^0-9a-z]+", q):
+        if len(part) >= 3:
+            hit = hit | F.lower("label").contains(part)
+    return g.nodes.where(hit).join(g.degree(), "id").orderBy(F.desc("degree"), "id").limit(top_n).select("id", "label", "degree")
+
+
+def edges_in_context(g: Graph, contexts: list[str]) -> DataFrame:
+    """Edges whose ``extra.context`` is one of these and whose ends exist; a (source, target, relation) once."""
+    e = g.edges.where(F.get_json_object("extra", "$.context").isin(*contexts))
+    return drop_dangling(g.nodes, e).dropDuplicates(["source", "target", "relation"])
+
+
 def is_ambiguous(ranked: DataFrame) -> DataFrame:
     """One row: whether the runner-up is of one tier and kind and within 10 % of the degree."""
     w = Window.orderBy(F.desc("tier"), F.desc("is_symbol"), F.desc("degree"), "id")

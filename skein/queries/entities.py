@@ -14,15 +14,17 @@ NOW = "2024-02-01"
 
 
 def jaro_pairs(spark, sf_dir):
-    n = read(spark, sf_dir, "part").select(F.col("p_name").alias("x")).distinct().withColumn("k", F.substring("x", 1, 1))
-    p = n.join(n.select("k", F.col("x").alias("y")), "k").where("x < y")
-    return p.select("x", "y", F.round(resolve.jaro_score("x", "y"), 6).alias("jaro"), F.round(resolve.jaro_winkler_score("x", "y"), 6).alias("winkler"))
+    """Names of parts with a key divisible by 50 against all names."""
+    p = read(spark, sf_dir, "part")
+    queries = p.where("p_partkey % 50 = 0").select(F.col("p_name").alias("x")).distinct()
+    pairs = queries.join(p.select(F.col("p_name").alias("y")).distinct(), F.col("x") < F.col("y"))
+    return pairs.select("x", "y", F.round(resolve.jaro_score("x", "y"), 6).alias("jaro"), F.round(resolve.jaro_winkler_score("x", "y"), 6).alias("winkler"))
 
 
 def _entities(spark, sf_dir) -> Graph:
     d = read(spark, sf_dir, "documents")
     n = d.select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 60).alias("label"), F.col("source").alias("source_file"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.element_at(F.split("text", "\n"), 1).alias("label"), F.col("source").alias("source_file"),
         F.lit("concept").alias("node_type"), F.col("doc_id").alias("_ord"),
     )
     g = relational_graph(spark, sf_dir)
@@ -30,15 +32,24 @@ def _entities(spark, sf_dir) -> Graph:
 
 
 def exact_merges(spark, sf_dir):
-    n = _entities(spark, sf_dir).nodes
-    e = n.groupBy(norm(F.col("label")).alias("norm"), "source_file").agg(F.min(resolve.better(F.col("id"))).alias("w"), F.count(F.lit(1)).alias("n"))
-    return e.where("n > 1 and norm <> ''").select("norm", "source_file", F.col("w.id").alias("winner"), "n")
+    return resolve.exact_groups(_entities(spark, sf_dir))
 
 
 def resolve_entities(spark, sf_dir):
     return resolve.resolve_entities(_entities(spark, sf_dir))[1]
 
 
+def resolution_counts(spark, sf_dir):
+    return resolve.resolution_counts(_entities(spark, sf_dir))
+
+
+def remapped_communities(spark, sf_dir):
+    """Communities of customers by nation, remapped to their former ones by region and balance."""
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("long").alias("nation"))
+    old = c.select("id", F.expr("(nation * 7 + substring(id, 3) % 3) % 20").cast("long").alias("community"))
+    return cluster.remap(c.select("id", F.col("nation").alias("community")), old).groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+
+
 def cosine_pairs(spark, sf_dir):
     p = resolve.similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, 20)
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
@@ -70,7 +81,7 @@ def latest_turn(spark, sf_dir):
 def _touched(spark, sf_dir):
     g = relational_graph(spark, sf_dir)
     files = g.nodes.where("source_file = 'part'").withColumn("source_file", F.concat(F.lit("src/"), F.expr("cast(substring(id, 3) as bigint) % 97"), F.lit("/"), F.expr("cast(substring(id, 3) as bigint) % 11"), F.lit(".rs")))
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
+    line = read(spark, sf_dir, "lineitem")
     changes = line.select(F.expr("l_orderkey div 400").alias("change"), F.concat(F.expr("l_partkey % 97"), F.lit("/"), F.expr("l_partkey % 11"), F.lit(".rs")).alias("path")).distinct()
     return outcomes.impact(changes, outcomes.footprint(files))
 
@@ -105,6 +116,8 @@ QUERIES = {
     "jaro_pairs": jaro_pairs,
     "exact_merges": exact_merges,
     "resolve_entities": resolve_entities,
+    "resolution_counts": resolution_counts,
+    "remapped_communities": remapped_communities,
     "cosine_pairs": cosine_pairs,
     "decayed_scores": decayed_scores,
     "lessons": lessons,
@@ -125,17 +138,14 @@ WITH c AS (SELECT user_id AS node, CASE event_type WHEN 'purchase' THEN 1 ELSE -
 """
 _TOUCH = """
 WITH f AS (SELECT 'src/' || p_partkey % 97 || '/' || p_partkey % 11 || '.rs' AS file, p_partkey % 97 || '/' || p_partkey % 11 || '.rs' AS tail, count(*) AS n, list(DISTINCT p_partkey % 5) AS cs FROM part GROUP BY 1, 2),
- c AS (SELECT DISTINCT l_orderkey // 400 AS change, l_partkey % 97 || '/' || l_partkey % 11 || '.rs' AS path FROM lineitem WHERE l_orderkey % 40 = 0),
+ c AS (SELECT DISTINCT l_orderkey // 400 AS change, l_partkey % 97 || '/' || l_partkey % 11 || '.rs' AS path FROM lineitem),
  i AS (SELECT change, sum(n)::BIGINT AS n_nodes, list_sort(list_distinct(flatten(list(cs)))) AS cs FROM c JOIN f ON path = tail GROUP BY change)
 """
 
 ORACLES = {
-    "jaro_pairs": """
-WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x, b.x AS y, jaro_similarity(a.x, b.x) AS j FROM n a JOIN n b ON left(a.x, 1) = left(b.x, 1) AND a.x < b.x)
-SELECT x, y, round(100 * j, 6) AS jaro, round(100 * (j + 0.1 * (CASE WHEN left(x, 4) = left(y, 4) THEN 4 WHEN left(x, 3) = left(y, 3) THEN 3 WHEN left(x, 2) = left(y, 2) THEN 2 ELSE 1 END) * (1 - j)), 6) AS winkler FROM p""",
     "exact_merges": r"""
-SELECT trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, source AS source_file, arg_min('d' || doc_id, (length('d' || doc_id), 'd' || doc_id)) AS winner, count(*) AS n
-FROM documents GROUP BY 1, 2 HAVING n > 1 AND norm <> ''""",
+SELECT trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, source AS source_file, arg_min('d' || doc_id, (length('d' || doc_id), 'd' || doc_id)) AS winner, count(*) AS n
+FROM documents WHERE source <> '' GROUP BY 1, 2 HAVING n > 1 AND norm <> ''""",
     "cosine_pairs": """
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, 1, 2 LIMIT 20""",
@@ -149,8 +159,9 @@ SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, r
     "conflicts": _TOUCH + """
 SELECT community, count(*) AS n, string_agg(change, ',' ORDER BY change) AS changes FROM (SELECT DISTINCT change, unnest(cs) AS community FROM i) GROUP BY community HAVING n > 1""",
     "heuristic_labels": GRAPH_SQL + """
-, k AS (SELECT community, label, list_position(['module', 'package', 'namespace', 'class', 'struct', 'interface', 'trait', 'enum', 'function', 'method', 'concept'], node_type) AS r FROM nodes WHERE community IS NOT NULL)
-, b AS (SELECT community, arg_min(label, (r, label)) AS label FROM k GROUP BY community)
+, k AS (SELECT community, id, label, CASE WHEN label IN ('lib', 'super::*', 'main', 'mod', 'tests') OR contains(label, '::') THEN NULL
+        WHEN node_type IN ('function', 'class', 'struct', 'trait', 'interface') THEN 0 WHEN node_type = 'module' THEN 2 WHEN node_type = 'file' THEN 3 ELSE 1 END AS r FROM nodes WHERE community IS NOT NULL)
+, b AS (SELECT community, coalesce(arg_min(label, (r, label)) FILTER (WHERE r IS NOT NULL), arg_min(label, id)) AS label FROM k GROUP BY community)
 SELECT community, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY community) > 1 THEN label || ' (' || community || ')' ELSE label END AS label FROM b""",
     "memo_hits": """
 WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), k AS (SELECT h, min(doc_id) AS cached FROM d WHERE doc_id % 2 = 0 GROUP BY h)
