@@ -69,7 +69,15 @@ def explore(spark, sf_dir):
     return search.explore(relational_graph(spark, sf_dir), "ASIA region suppliers")
 
 
+def glob_matches(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    path = F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("/")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".rs"))
+    hit = lambda pattern: path.rlike(text.glob_regex(pattern)).alias
+    return p.select("p_partkey", hit("src/*/1*/b*.rs")("star"), hit("src/**/*_?olt.rs")("deep"), hit("src/*.rs")("flat"))
+
+
 QUERIES = {
+    "glob_matches": glob_matches,
     "text_ids": text_ids,
     "page_text": page_text,
     "token_estimates": token_estimates,
@@ -88,7 +96,31 @@ def _tokens_sql(x: str) -> str:
     return r"list_filter(regexp_split_to_array(lower(regexp_replace(@, '([^\p{Lu}_.:/\\\s-])(\p{Lu})', '\1 \2', 'g')), '[_.:/\\\s-]+'), lambda t: t <> '')".replace("@", x)
 
 
+def _found_sql(words: list[str]) -> str:
+    """Search hits of all nodes, and what two steps from the best five reach."""
+    asked = ", ".join(f"'{w}'" for w in words)
+    return GRAPH_SQL.replace("WITH nodes", "WITH RECURSIVE nodes") + """
+, n AS MATERIALIZED (SELECT id, label, source_file, CASE WHEN node_type IN ('module', 'package', 'namespace') THEN 0.35 WHEN node_type = 'file' THEN 0.7 ELSE 1.0 END AS kind, 0.1 * ln(1 + degree) AS boost FROM nodes JOIN degree USING (id))
+, t AS (SELECT id, kind, boost, """ + _tokens_sql("label") + " AS tl, " + _tokens_sql("id") + " AS ti, " + _tokens_sql("source_file") + """ AS tf FROM n)
+, post AS (SELECT id, unnest(tl) AS token, (2 / sqrt(len(tl)) + boost) * kind AS w FROM t UNION ALL SELECT id, unnest(ti), (1 + boost) * kind FROM t UNION ALL SELECT id, unnest(tf), (0.5 + boost) * kind FROM t)
+, seeds AS MATERIALIZED (SELECT id FROM post JOIN (SELECT unnest([""" + asked + """]) AS q) ON starts_with(token, q) GROUP BY id ORDER BY round(sum(w * CASE WHEN token = q THEN 1.0 ELSE 0.5 END), 9) DESC, id LIMIT 5)
+, steps AS MATERIALIZED (SELECT DISTINCT id, other FROM und)
+, b(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT other, depth + 1 FROM b JOIN steps ON b.id = steps.id WHERE depth < 2)
+, near AS (SELECT id, min(depth) AS depth FROM b GROUP BY id)
+"""
+
+
 ORACLES = {
+    "glob_matches": r"""
+WITH p AS (SELECT p_partkey, 'src/' || replace(p_brand, '#', '/') || '/' || replace(p_name, ' ', '_') || '.rs' AS path FROM part)
+SELECT p_partkey, regexp_matches(path, '^src/[^/]*/1[^/]*/b[^/]*\.rs$') AS star, regexp_matches(path, '^src/(.*/)?[^/]*_[^/]olt\.rs$') AS deep, regexp_matches(path, '^src/[^/]*\.rs$') AS flat FROM p""",
+    "query_graph": _found_sql(["which", "suppliers", "the", "asia", "region"]) + """
+, r AS (SELECT near.id, depth, label, node_type, source_file, coalesce(sum(length(label)) OVER (ORDER BY depth, near.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM near JOIN nodes USING (id))
+SELECT id, depth, label, node_type, source_file FROM r WHERE before < 800""",
+    "explore": _found_sql(["asia", "region", "suppliers"]) + """
+, f AS (SELECT source_file, count(*) AS symbols FROM near JOIN nodes USING (id) WHERE source_file <> '' GROUP BY source_file ORDER BY symbols DESC, source_file LIMIT 15)
+, r AS (SELECT *, coalesce(sum(length(source_file) + 100 * symbols) OVER (ORDER BY symbols DESC, source_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM f)
+SELECT source_file, symbols FROM r WHERE spent < 16000""",
     "text_ids": r"""
 SELECT p_partkey, lower(trim(regexp_replace(concat_ws('_', trim(p_brand, '_.'), 'x', trim(p_name, '_.')), '[^\p{L}\p{N}]+', '_', 'g'), '_')) AS id,
        trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, lower(p_type) AS norm_label,
