@@ -50,7 +50,17 @@ def wiki_pages(spark, sf_dir):
     return formats.wiki_pages(relational_graph(spark, sf_dir)).select("name")
 
 
+def redis_script(spark, sf_dir):
+    return formats.redis_script(relational_graph(spark, sf_dir))
+
+
+def community_pages(spark, sf_dir):
+    return formats.community_pages(relational_graph(spark, sf_dir))
+
+
 QUERIES = {
+    "redis_script": redis_script,
+    "community_pages": community_pages,
     "vis_nodes": vis_nodes,
     "display_ids": display_ids,
     "svg_layout": svg_layout,
@@ -69,6 +79,16 @@ _BACK = GRAPH_SQL + """
 _VAR = "regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g')"
 
 ORACLES = {
+    "redis_script": _BACK + """
+SELECT 0 AS part, 'GRAPH.QUERY skein "MERGE (n:' || upper(left(node_type, 1)) || substr(node_type, 2) || ' {id: ''' || id || '''}) SET n.label = ''' || label || '''"' AS line FROM bn
+UNION ALL SELECT 1, 'GRAPH.QUERY skein "MATCH (a {id: ''' || source || '''}), (b {id: ''' || target || '''}) MERGE (a)-[:' || upper(relation) || ']->(b)"' FROM be""",
+    "community_pages": _BACK + """
+, c AS (SELECT id, community FROM bn WHERE community IS NOT NULL)
+, e AS (SELECT a.community AS x, b.community AS y, source, target FROM be JOIN c a ON a.id = source JOIN c b ON b.id = target)
+SELECT 'community_' || community AS page, 0 AS part, id AS a, NULL AS b, degree AS n FROM c JOIN bd USING (id)
+UNION ALL SELECT 'community_' || x, 1, source, target, count(*) FROM e WHERE x = y GROUP BY x, source, target
+UNION ALL SELECT 'overview', 0, 'community_' || community, NULL, count(*) FROM c GROUP BY community
+UNION ALL SELECT 'overview', 1, 'community_' || least(x, y), 'community_' || greatest(x, y), count(*) FROM e WHERE x <> y GROUP BY least(x, y), greatest(x, y)""",
     "vis_nodes": _BACK + """
 SELECT id, label, degree, round(10 + 30 * (degree / (SELECT max(degree) FROM bd)), 6) AS size, CASE WHEN degree / (SELECT max(degree) FROM bd) >= 0.15 THEN 12 ELSE 0 END AS font_size FROM bn JOIN bd USING (id)""",
     "display_ids": _BACK + """

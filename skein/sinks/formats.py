@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.functions.text import cypher_escape, html_escape, xml_escape
+from skein.functions.text import cypher_escape, fnv_digest, html_escape, redis_escape, xml_escape, yaml_quote
 from skein.graph import Graph
 
 #: Relation names of the compatible interchange format.
@@ -180,3 +180,41 @@ def write_text(rows: DataFrame, path: str, first: str | None = None, last: str |
         if text is not None:
             every = every.unionAll(spark.createDataFrame([(part, text)], "part int, line string"))
     every.repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("line").write.text(path)
+
+
+def redis_script(g: Graph, name: str = "skein") -> DataFrame:
+    """(part, line): MERGE statements as arguments of a graph command; escaped for Cypher, then for the shell of the store."""
+    command = lambda c: F.concat(F.lit(f'GRAPH.QUERY {name} "'), redis_escape(c), F.lit('"'))
+    q = lambda c: F.concat(F.lit("'"), cypher_escape(F.regexp_replace(c, r"[\r\n]+", " ")), F.lit("'"))
+    kind = F.coalesce(F.nullif(F.initcap(F.regexp_replace("node_type", "[^A-Za-z0-9]", "")), F.lit("")), F.lit("Entity"))
+    n = g.nodes.select(F.lit(0).alias("part"), command(F.concat(F.lit("MERGE (n:"), kind, F.lit(" {id: "), q(F.col("id")), F.lit("}) SET n.label = "), q(F.col("label")))).alias("line"))
+    relation = F.upper(F.regexp_replace("relation", "[^A-Za-z0-9_]", "_"))
+    e = g.edges.select(F.lit(1), command(F.concat(F.lit("MATCH (a {id: "), q(F.col("source")), F.lit("}), (b {id: "), q(F.col("target")), F.lit("}) MERGE (a)-[:"), relation, F.lit("]->(b)"))))
+    return n.unionAll(e)
+
+
+def community_pages(g: Graph) -> DataFrame:
+    """(page, part, a, b, n): a page per community with its nodes (part 0) and inner links (1), and the page
+    ``overview`` with communities (0) and the edges between them (1)."""
+    n = g.nodes.where("community is not null").select("id", "community")
+    page = lambda c: F.concat(F.lit("community_"), c.cast("string"))
+    none = F.lit(None).cast("string")
+    d = n.join(g.degree(), "id").select(page(F.col("community")).alias("page"), F.lit(0).alias("part"), F.col("id").alias("a"), none.alias("b"), F.col("degree").alias("n"))
+    e = g.edges.join(n.select(F.col("id").alias("source"), F.col("community").alias("x")), "source").join(n.select(F.col("id").alias("target"), F.col("community").alias("y")), "target")
+    count = F.count(F.lit(1)).alias("n")
+    inner = e.where("x = y").groupBy("x", "source", "target").agg(count).select(page(F.col("x")), F.lit(1), "source", "target", "n")
+    sizes = n.groupBy("community").agg(count).select(F.lit("overview"), F.lit(0), page(F.col("community")), none, "n")
+    between = e.where("x <> y").groupBy(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).agg(count)
+    return d.unionAll(inner).unionAll(sizes).unionAll(between.select(F.lit("overview"), F.lit(1), page(F.col("low")), page(F.col("high")), "n"))
+
+
+def memory_documents(results: DataFrame) -> DataFrame:
+    """(name, text) of saved results (type, question, answer, nodes, at): front matter, then the answer; the name holds type, time and a hash."""
+    stamp = F.date_format("at", "yyyyMMdd'T'HHmmss")
+    name = F.concat_ws("_", F.col("type"), stamp, fnv_digest(F.col("question")))
+    cited = F.array_join(F.transform("nodes", lambda x: F.concat(F.lit("  - "), yaml_quote(x))), "\n")
+    text = F.concat(
+        F.lit("---\ntype: "), yaml_quote(F.col("type")), F.lit("\nquestion: "), yaml_quote(F.col("question")), F.lit("\ndate: "), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("\nnodes:\n"), cited, F.lit("\n---\n\n"), F.col("answer"), F.lit("\n"),
+    )
+    return results.select(F.concat(name, F.lit(".md")).alias("name"), text.alias("text"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import make_id
+from skein.functions.text import glob_regex, make_id
 from skein.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph, complete
 from skein.operators.build import first_wins
 
@@ -50,6 +50,34 @@ def parse_manifest(path: str, text: str) -> tuple[str | None, list[str]]:
     return None, []
 
 
+def workspace_members(files: DataFrame) -> DataFrame:
+    """(workspace, path, crate): the Cargo manifests that a workspace's member globs name, less its excluded ones; (path, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"]):
+                try:
+                    d = tomllib.loads(text)
+                except ValueError:
+                    continue
+                root = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
+                w = d.get("workspace", {})
+                for kind in ("members", "exclude"):
+                    rows += [(path, None, kind, glob_regex(root + m.strip("/") + "/Cargo.toml")) for m in w.get(kind, []) if isinstance(m, str)]
+                if d.get("package", {}).get("name"):
+                    rows.append((path, d["package"]["name"], "crate", None))
+            yield pd.DataFrame(rows, columns=["path", "crate", "kind", "pattern"])
+
+    own = files.where(F.col("path").rlike(r"(^|/)Cargo\.toml$")).select("path", F.col("content").cast("string").alias("content"))
+    found = own.mapInPandas(run, "path string, crate string, kind string, pattern string")
+    crates = found.where("kind = 'crate'").select("path", "crate")
+    named = lambda k: found.where(F.col("kind") == k).select(F.col("path").alias("workspace"), "pattern")
+    # A workspace has a handful of globs: every crate meets each of them.
+    hit = crates.join(named("members"), F.expr("path rlike pattern")).select("workspace", "path", "crate").distinct()
+    return hit.join(named("exclude").withColumnRenamed("workspace", "of"), (F.col("workspace") == F.col("of")) & F.expr("path rlike pattern"), "left_anti")
+
+
 def manifests(files: DataFrame) -> Graph:
     """Package nodes and ``depends_on`` edges from (path, content); repeated dependencies once."""
 

@@ -42,3 +42,44 @@ def test_nodes_with_the_same_neighbours_are_alike(spark):
     got = embed.find_similar(g, 20, 0.9, dim=32, window=3).collect()
     assert {("a", "b"), ("a", "c"), ("b", "c"), ("x", "y"), ("x", "z"), ("y", "z")} <= {(r.a, r.b) for r in got}
     assert all((r.a in "abch1h2") == (r.b in "abch1h2") for r in got)
+
+
+def test_office_files(spark):
+    import io
+    import zipfile
+
+    from skein.sources import office
+
+    def packed(**members):
+        f = io.BytesIO()
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return f.getvalue()
+
+    w = 'xmlns:w="urn:w"'
+    p = lambda t, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    doc = packed(word__document=f"<w:document {w}><w:body>{p('Title', 'Heading1')}<w:tbl><w:tr><w:tc>{p('a|b')}</w:tc><w:tc>{p('c')}</w:tc></w:tr></w:tbl>{p('End')}</w:body></w:document>")
+    book = packed(
+        xl__workbook='<workbook><sheets><sheet name="Sums"/></sheets></workbook>', xl__sharedStrings="<sst><si><t>name</t></si></sst>",
+        xl__worksheets__sheet1='<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row></sheetData></worksheet>',
+    )
+    bomb = packed(word__document="<w:document>" + " " * 40_000_000 + "</w:document>")
+    df = spark.createDataFrame([("a.docx", doc), ("b.xlsx", book), ("c.docx", bomb), ("d.docx", b"none"), ("e.md", b"x")], "path string, content binary")
+    got = {r.path: r for r in office.office_text(df).collect()}
+    assert got["a.docx"].text == "# Title\n\nEnd\n\n| a\\|b | c |\n\n|-|-|" and got["b.xlsx"].text == "## Sums\n\n| name |  | 7 |\n|-|-|-|"
+    assert "inflates" in got["c.docx"].error and got["d.docx"].text is None and "e.md" not in got
+
+
+def test_workspaces_and_memory_documents(spark):
+    from pyspark.sql import functions as F
+
+    from skein.sinks import formats
+    from skein.sources import manifests
+
+    rows = [("w/Cargo.toml", '[workspace]\nmembers = ["crates/*", "tools/x"]\nexclude = ["crates/old"]'), ("w/crates/a/Cargo.toml", '[package]\nname = "a"'), ("w/crates/old/Cargo.toml", '[package]\nname = "old"'), ("w/tools/x/Cargo.toml", '[package]\nname = "x"'), ("w/tools/y/Cargo.toml", '[package]\nname = "y"')]
+    got = manifests.workspace_members(spark.createDataFrame(rows, "path string, content string")).collect()
+    assert {(r.workspace, r.crate) for r in got} == {("w/Cargo.toml", "a"), ("w/Cargo.toml", "x")}
+    r = spark.createDataFrame([("query", 'why "x"?', "because", ["a", "b"], "2024-01-02 03:04:05")], "type string, question string, answer string, nodes array<string>, at string")
+    m = formats.memory_documents(r.withColumn("at", F.to_timestamp("at"))).first()
+    assert m.name.startswith("query_20240102T030405_") and 'question: "why \\"x\\"?"' in m.text and m.text.endswith("because\n")
