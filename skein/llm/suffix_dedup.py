@@ -62,7 +62,7 @@ SPAN = 50
 GRAM = 20
 WIDTH = SPAN - GRAM + 1
 CHUNK = 1 << 18
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 10_000_000
 BUCKET_ENTRIES = 500_000
 SORT_ROWS = 200_000
 DENSITY = 2 / (WIDTH + 1)
@@ -479,7 +479,7 @@ def _context_rows(held: list[tuple[int, int, bytes, np.ndarray]], buckets: int)
         every = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         yield (
             int(k), docs[named].tobytes(), keys[named].tobytes(), _places(local, len(named)), pos[at].astype("<u4").tobytes(),
-            (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), e[at].astype("<u4").tobytes(), buffer[every].tobytes(),
+            (n[at] * 64 + off[at]).astype("<u2").tobytes(), shift[at].astype(np.uint8).tobytes(), _pack(g[at]), e[at].astype("<u4").tobytes(), pa.compress(buffer[every].tobytes(), codec="zstd", asbytes=True),
         )
 
 
@@ -585,7 +585,9 @@ def _windows_found(rows: list[dict], homes: int) -> pa.RecordBatch:
     g, e = np.concatenate([_unpack(r["g"]) for r in rows]), np.concatenate([np.frombuffer(r["e"], "<u4") for r in rows])
     pos, shape, shift = (np.concatenate([np.frombuffer(r[f], t) for r in rows]).astype(np.int64) for f, t in (("pos", "<u4"), ("shape", "<u2"), ("shift", "u1")))
     n, off = shape // 64, shape % 64
-    buffer = np.frombuffer(b"".join([*[r["bytes"] for r in rows], bytes(_ROOM)]), np.uint8)
+    inflated = [pa.decompress(r["bytes"], int((np.frombuffer(r["shape"], "<u2") // 64 + SPAN - 1).sum(dtype=np.int64)), codec="zstd", asbytes=True) for r in rows]
+    buffer = np.frombuffer(b"".join([*inflated, bytes(_ROOM)]), np.uint8)
+    del inflated
     base = np.cumsum(n + SPAN - 1) - n - SPAN + 1
     by = np.lexsort((doc, shape, e, g))
     doc, key, g, e, pos, shape, shift, n, off, base = (x[by] for x in (doc, key, g, e, pos, shape, shift, n, off, base))
@@ -691,59 +693,65 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, size = [], 0
+_CHUNK_BYTES = 4096
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)))], ["order"])
 
-    for b in batches:
-        kind, payload = b.column("kind").to_pylist(), b.column("payload")
-        for i in range(b.num_rows):
-            seen.append(np.unique(np.frombuffer(payload[i].as_py(), _RECORDS[kind[i]])["doc"]))
-            size += len(seen[-1])
-            if size > 4_000_000:
-                seen = [np.unique(np.concatenate(seen))]
-                size = len(seen[0])
-                if size > 2_000_000:
-                    yield out()
-                    seen, size = [], 0
-    if seen:
-        yield out()
+def _bits(size: int):
+    """The documents of a task's records as a bitmap, in chunks that are not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(max(size // 8, _CHUNK_BYTES), np.uint8)
+        for b in batches:
+            kind, payload = b.column("kind").to_pylist(), b.column("payload")
+            for i in range(b.num_rows):
+                doc = np.frombuffer(payload[i].as_py(), _RECORDS[kind[i]])["doc"].astype(np.int64)
+                at = (doc ^ (doc.view(np.uint64) >> np.uint64(21)).view(np.int64)) % size
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        rows = bits.reshape(-1, _CHUNK_BYTES)
+        some = np.nonzero(rows.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["k", "bits"])
+
+    return run
 
 
-def _with(codes: DataFrame) -> Column | None:
-    """Whether a row's ``order`` may be one of ``codes``; None if there are too many for a bitmap to tell."""
-    codes = table(codes.select("kind", "payload").mapInArrow(_orders, "order long").distinct(), "orders")
-    n = codes.count()
-    size = 1 << max(16, (16 * n).bit_length())
+def _with(codes: DataFrame, documents: int) -> Column | None:
+    """Whether a row's ``order`` may be one of ``codes``; None if there are too many documents for a bitmap to tell."""
+    size = 1 << max(16, (8 * documents).bit_length())
     if size > MOST_BITS:
         return None
-    h = F.pmod(F.xxhash64("order"), F.lit(size)) + 1  # positions count from 1
-    parts = codes.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bits = np.zeros((size // 8 // 4096 + 2, 4096), np.uint8)
+    parts = codes.select("kind", "payload").mapInArrow(_bits(size), "k int, bits binary").groupBy("k").agg(F.bitmap_or_agg("bits").alias("bits"))
+    bits = np.zeros((max(size // 8, _CHUNK_BYTES) // _CHUNK_BYTES, _CHUNK_BYTES), np.uint8)
     for r in parts.collect():  # at most MOST_BITS / 8 bytes
         bits[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
+    flat = bits.reshape(-1)
 
     @F.pandas_udf("boolean")
-    def run(bucket, position):
-        k, p = bucket.to_numpy(), position.to_numpy()
-        return pd.Series((bits[k, p >> 3] >> (p & 7)) & 1 == 1)
+    def run(position):
+        p = position.to_numpy()
+        return pd.Series((flat[p >> 3] >> (p & 7)) & 1 == 1)
+
+    order = F.col("order")
+    return run(F.pmod(order.bitwiseXOR(F.shiftrightunsigned(order, 21)), F.lit(size)))
 
-    return run(F.bitmap_bucket_number(h), F.bitmap_bit_position(h))
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results have been written."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("order"), raw.alias("raw")).withColumn("key", F.xxhash64("raw"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, documents = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil(total * DENSITY / BUCKET_ENTRIES))
 
     blobs = lambda fields: ", ".join(f"{f} binary" for f in fields)
     entries = base.where(F.octet_length("raw") >= SPAN).mapInArrow(_meeting(buckets), f"bucket int, {_CODE_SCHEMA}, {blobs(_BLOB_FIELDS)}")
     matched = table(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_segments(buckets), _CODE_SCHEMA), "segments")
 
+    _release(docs.sparkSession)
+
     def meet(codes: DataFrame, hit: Column | None) -> DataFrame:
         own = base if hit is None else base.where(hit)
         home = F.pmod(F.col("order").bitwiseXOR(F.col("key")), F.lit(buckets)).cast("int")
@@ -752,12 +760,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return codes.select("home", "kind", none.alias("order"), none.alias("key"), "payload").unionAll(texts).repartition(buckets, "home").sortWithinPartitions("home", "kind")
 
     asks = matched.where(F.col("kind") == _ASK)
-    contexts = meet(asks, _with(asks)).mapInArrow(_contexts(buckets), f"bucket int, {blobs(_CONTEXT_FIELDS)}")
+    contexts = meet(asks, _with(asks, documents)).mapInArrow(_contexts(buckets), f"bucket int, {blobs(_CONTEXT_FIELDS)}")
     found = table(contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_suffixes(buckets), _CODE_SCHEMA), "windows")
 
+    _release(docs.sparkSession)
+
     runs = matched.where(F.col("kind") == _RUN)
     answers = runs.unionAll(found)
-    hit = _with(answers)
+    hit = _with(answers, documents)
     places = matched.where(F.col("kind") == _SAME)
     some = meet(answers.unionAll(places), hit).mapInArrow(_finish, "order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if hit is not None:
