@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -735,8 +736,13 @@ def _with(codes: DataFrame, documents: int) -> Column | None:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results have been written."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs whose results have been written.
+
+    It does so when the driver's collector finds their plans, which the listeners let go of a moment after the job.
+    """
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
