@@ -39,7 +39,7 @@ def test_extraction(spark):
 
 
 def test_scan_and_rescan(spark, tmp_path):
-    for name, body in (("src/a.py", "x = 1\n"), ("notes.md", "hello wide world"), ("node_modules/b.js", "x"), (".env", "KEY=1"), ("my_secret.txt", "x"), ("paper.md", "Abstract Introduction References et al")):
+    for name, body in (("src/a.py", "x = 1\n"), ("notes.md", "hello wide world"), ("node_modules/b.js", "x"), (".env", "KEY=1"), ("my_secret.txt", "x"), ("paper.md", "Abstract. We propose a method, see the literature and doi 1.")):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(body)
