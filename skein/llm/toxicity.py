@@ -117,6 +117,29 @@ def _forward(w0, w, v, rows):
     return w0 + linear + 0.5 * ((sums**2).sum(axis=1) - squares), term, doc, sums
 
 
+class _Batch:
+    """Which of a batch's columns its rows hold; vectors are summed one at a time, so they stay in the cache.
+
+    All places are valid; the mode ``wrap`` only spares their check.
+    """
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, n: int, width: int):
+        self.term, self.doc, self.n, self.width = term, doc, n, width
+        self.first = np.flatnonzero(np.diff(doc, prepend=-1))
+        self.filled = doc[self.first]
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        """Sums of ``x`` over the columns that each row holds."""
+        out = np.zeros(self.n)
+        if len(self.first):
+            out[self.filled] = np.add.reduceat(x.take(self.term, mode="wrap"), self.first)
+        return out
+
+    def by_column(self, z: np.ndarray) -> np.ndarray:
+        """Sums of ``z`` over the rows that hold each column."""
+        return np.bincount(self.term, z.take(self.doc, mode="wrap"), self.width)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -150,41 +173,52 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: i
     rows = [(k := at[r])[k >= 0] for r in rows]
     noise = np.sqrt(docs) / n
     back_of = np.zeros(len(columns), np.int64)
-    g0, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
+    g0, gw = 1e-8, np.full_like(w, 1e-8)
+    vs = [x.copy() for x in v.T]  # one vector a factor
+    gvs = [np.full_like(x, 1e-8) for x in vs]
     for epoch in range(2 * epochs if factors else epochs):
         pairs = epoch >= epochs
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             part = order[a : a + BATCH]
-            batch = [rows[i] for i in part]
-            margin, term, doc, sums = _forward(w0, w, v if pairs else v[:, :0], batch)
+            term, doc = _flat([rows[i] for i in part])
+            used = np.flatnonzero(np.bincount(term, minlength=len(w)))
+            back_of[used] = np.arange(len(used))
+            batch = _Batch(back_of.take(term, mode="wrap"), doc, len(part), len(used))
+            old = w.take(used)
+            owns = [x.take(used) for x in vs] if pairs else []
+            sums = [batch.by_row(own) for own in owns]
+            squares = batch.by_row(sum(own * own for own in owns)) if pairs else 0.0
+            margin = w0 + batch.by_row(old) + 0.5 * (sum(x * x for x in sums) - squares)
             err = (sigmoid(margin) - y[part]) / len(part)
             g = err.sum()
             g0 += g * g
             w0 -= RATE * g / np.sqrt(g0)
             if not len(term):
                 continue
-            used = np.flatnonzero(np.bincount(term, minlength=len(w)))
-            back_of[used] = np.arange(len(used))
-            back = back_of[term]
-            dw = np.bincount(back, err[doc], len(used))
-            gw[used] += dw**2
-            rate = RATE / np.sqrt(gw[used])
-            rate *= _within(np.bincount(doc, (rate * dw)[back], len(part)), W_MOVE)
-            moved = w[used] - rate * dw
-            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * W_PENALTY * noise[used], 0)
+            dw = batch.by_column(err)
+            gw[used] = seen = gw.take(used) + dw**2
+            rate = RATE / np.sqrt(seen)
+            rate *= _within(batch.by_row(rate * dw), W_MOVE)
+            moved = old - rate * dw
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * W_PENALTY * noise.take(used), 0)
             if not pairs:
                 continue
-            own, pull = v[used], err[:, None] * sums
-            dv = np.stack([np.bincount(back, pull[doc, f], len(used)) for f in range(factors)], axis=1)
-            dv += (V_PENALTY * noise[used] - dw)[:, None] * own
-            gv[used] += dv**2
-            step = RATE * dv / np.sqrt(gv[used])
-            # The change of half of (squared sums less sums of squares).
-            change = _by_doc(step[back], doc, len(part))
-            single = np.einsum("ij,ij->i", step, own - 0.5 * step)
-            move = ((sums - 0.5 * change) * change).sum(axis=1) - np.bincount(doc, single[back], len(part))
-            v[used] = own - _within(move, V_MOVE) * step
+            pull = V_PENALTY * noise.take(used) - dw
+            steps, single, move = [], 0.0, 0.0
+            for own, total, gv in zip(owns, sums, gvs):
+                dv = batch.by_column(err * total) + pull * own
+                gv[used] = seen = gv.take(used) + dv * dv
+                step = RATE * dv / np.sqrt(seen)
+                # The change of half of (squared sums less sums of squares).
+                change = batch.by_row(step)
+                move = move + (total - 0.5 * change) * change
+                single = single + step * (own - 0.5 * step)
+                steps.append(step)
+            scale = _within(move - batch.by_row(single), V_MOVE)
+            for x, own, step in zip(vs, owns, steps):
+                x[used] = own - scale * step
+    v = np.stack(vs, axis=1) if vs else v
     return Machine(columns, float(w0), w, v)
 
 
@@ -201,9 +235,11 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _only(columns: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(1 << HASH_BITS, bool)
+        kept[columns] = True
         for b in batches:
             rows = b.column("terms")
-            terms = [(x := rows[i].values.to_numpy())[np.isin(x, columns)].tobytes() for i in range(b.num_rows)]
+            terms = [(x := rows[i].values.to_numpy())[kept[x]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(terms, pa.binary())], ["toxic", "terms"])
 
     return run

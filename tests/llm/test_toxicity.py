@@ -142,3 +142,26 @@ def test_repeated_rows_of_one_doc_id_do_not_pass_the_bound(spark, monkeypatch):
     monkeypatch.setattr(t, "fit", lambda rows, y: seen.append(len(rows)))
     t.train(frame(spark, rows), labels, most_rows=40)
     assert seen == [40]
+
+
+def test_sums_of_a_batch():
+    rnd = np.random.default_rng(4)
+    rows = [np.unique(rnd.integers(0, 1 << t.HASH_BITS, 300).astype(np.int32) % 40_000) for _ in range(256)]
+    flat, doc = t._flat(rows)
+    used = np.unique(flat)
+    batch = t._Batch(np.searchsorted(used, flat), doc, len(rows) + 1, len(used))
+    x, z = rnd.normal(size=len(used)), rnd.normal(size=len(rows) + 1)
+    held = [np.searchsorted(used, r) for r in rows]
+    assert np.allclose(batch.by_row(x), [x[h].sum() for h in held] + [0.0])
+    want = np.zeros(len(used))
+    for i, h in enumerate(held):
+        want[h] += z[i]
+    assert np.allclose(batch.by_column(z), want)
+
+
+def test_only_the_kept_columns_travel():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([[3, 5, 9], []], pa.list_(pa.int32()))], ["toxic", "terms"])
+    (out,) = t._only(np.array([3, 9], np.int32))(iter([batch]))
+    assert [np.frombuffer(x, np.int32).tolist() for x in out.column("terms").to_pylist()] == [[3, 9], []]
