@@ -7,8 +7,7 @@ prefix tree per label, and states whose continuations are statistically
 compatible (Hoeffding bounds, the ALERGIA method) are merged into a
 probabilistic automaton.  Candidates are parts, of ``LEAST_CHARS`` or more, of
 the maximal runs of credential characters: from the start of a run or after a
-separator to the end of the run or before a separator, ``MOST_CHARS`` at most (a
-whole run may be longer).  Each is scored by its likelihood under the best
+separator to the end of the run or before a separator, of any length.  Each is scored by its likelihood under the best
 automaton against that under a Markov chain of ordinary long tokens; of those
 above ``LEAST_BITS`` (in all) and ``LEAST_BITS_PER_CHAR`` that do not lie within
 base spans, the ones with most bits that do not overlap become spans of kind
@@ -68,7 +67,8 @@ UNSEEN = 0.5
 CLASSES = tuple(frozenset(x) for x in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CHARS)
 SEPARATORS = frozenset("+/_.=-")
-MOST_CHARS = 1024
+#: So far a candidate is followed step by step; longer ones are settled from the end of their run.
+LONG_CHARS = 1024
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 END = ""
 PLACEHOLDER = "<secret>"
@@ -211,6 +211,24 @@ def infer(label: str, samples: list[str], alpha: float = ALPHA, smooth: float =
     return Automaton(label, steps, ends)
 
 
+@dataclass
+class _Walk:
+    """A candidate's start, how far it is followed, and the best end so far; ``shouted``: ordinary text in capitals."""
+
+    at: int
+    live: list[tuple[int, int, float]]
+    k: int
+    plain: float = 0.0
+    last: str = END
+    shouted: float = 0.0
+    small: str = END
+    best: float = 0.0
+    end: int = -1
+
+    def __post_init__(self):
+        self.end = self.at
+
+
 @dataclass
 class Model:
     """Automata of credential formats and a Markov chain of ordinary tokens."""
@@ -237,24 +255,78 @@ class Model:
 
     def best_end(self, s: str, at: int) -> tuple[float, int]:
         """Most bits of a candidate of ``s`` that begins at ``at``, and its end; (0, at) if none is above the limits."""
-        live = [(a, 0, 0.0) for a in self.automata]
-        best, end, plain, last = 0.0, at, 0.0, END
-        shouted, small = 0.0, END  # ordinary text in capitals
-        for k in range(at, len(s) if at == 0 else min(len(s), at + MOST_CHARS)):
+        walk = _Walk(at, [(i, 0, 0.0) for i in range(len(self.automata))], at)
+        self._go(s, walk, len(s))
+        return walk.best, walk.end
+
+    def best_ends(self, s: str, starts: list[int]) -> list[tuple[float, int]]:
+        """:meth:`best_end` of each of the ascending ``starts``, in work that does not grow with the square of a long run.
+
+        Walks go on for ``LONG_CHARS``.  For those still alive one pass from the end of
+        the run back knows for every state the end with most bits to come; no end is
+        left out.  Only where that end does not tell the answer (it has under
+        ``LEAST_BITS_PER_CHAR``, yet another may have more, or the candidate is in
+        capitals so far) the walk goes on to the end of the run.
+        """
+        walks = [_Walk(at, [(i, 0, 0.0) for i in range(len(self.automata))], at) for at in starts]
+        for w in walks:
+            self._go(s, w, w.at + LONG_CHARS)
+        open_ = {w.k: w for w in walks if w.live and w.k < len(s)}
+        if open_:
+            self._look_ahead(s, open_)
+        return [(w.best, w.end) for w in walks]
+
+    def _go(self, s: str, w: _Walk, stop: int) -> None:
+        """Walk on to ``stop`` at most."""
+        automata, live = self.automata, w.live
+        for k in range(w.k, min(len(s), stop)):
             c = s[k]
-            plain += self.chain.get(last, {}).get(c, self.unseen)
-            last = c
-            shouted += -math.inf if c.islower() else self.chain.get(small, {}).get(c.lower(), self.unseen)
-            small = c.lower()
-            live = [(a, hop[0], b + hop[1]) for a, state, b in live if (hop := a.steps[state].get(c))]
+            w.plain += self.chain.get(w.last, {}).get(c, self.unseen)
+            w.last = c
+            w.shouted += -math.inf if c.islower() else self.chain.get(w.small, {}).get(c.lower(), self.unseen)
+            w.small = c.lower()
+            live = [(a, hop[0], b + hop[1]) for a, state, b in live if (hop := automata[a].steps[state].get(c))]
+            w.k = k + 1
             if not live:
                 break
-            n = k + 1 - at
+            n = k + 1 - w.at
             if n >= LEAST_CHARS and (k + 1 == len(s) or s[k + 1] in SEPARATORS):
-                gain = max(b + a.ends[state] for a, state, b in live) - max(plain, shouted)
-                if gain >= max(LEAST_BITS, LEAST_BITS_PER_CHAR * n, best):
-                    best, end = gain, k + 1
-        return best, end
+                gain = max(b + automata[a].ends[state] for a, state, b in live) - max(w.plain, w.shouted)
+                if gain >= max(LEAST_BITS, LEAST_BITS_PER_CHAR * n, w.best):
+                    w.best, w.end = gain, k + 1
+        w.live = live
+
+    def _look_ahead(self, s: str, walks: dict[int, _Walk]) -> None:
+        """Settle walks (by the place they have come to) of which a part of ``s`` is left."""
+        first = np.cumsum([0, *[len(a.steps) for a in self.automata]])
+        ends = np.array([b for a in self.automata for b in a.ends])
+        hops, bits = {}, {}
+        for c in set(s):
+            hops[c], bits[c] = np.zeros(len(ends), np.int64), np.full(len(ends), -np.inf)
+            for a, at in zip(self.automata, first):
+                for i, own in enumerate(a.steps):
+                    if c in own:
+                        hops[c][at + i], bits[c][at + i] = at + own[c][0], own[c][1]
+        # By state: most bits over plain text to come, at which end, and most bits less those that the length asks for.
+        most, spare, where = np.full(len(ends), -np.inf), np.full(len(ends), -np.inf), np.zeros(len(ends), np.int64)
+        for k in range(len(s) - 1, min(walks) - 1, -1):
+            c = s[k]
+            hop, gain = hops[c], bits[c] - self.chain.get(s[k - 1], {}).get(c, self.unseen)
+            if k + 1 == len(s) or s[k + 1] in SEPARATORS:
+                where = np.where(ends > most, k + 1, where)
+                most, spare = np.maximum(most, ends), np.maximum(spare, ends)
+            most, spare, where = gain + most[hop], gain + spare[hop] - LEAST_BITS_PER_CHAR, where[hop]
+            if k not in walks:
+                continue
+            w = walks[k]
+            states = [(b, first[a] + state) for a, state, b in w.live]
+            bound, end = max((b + most[q] - w.plain, where[q]) for b, q in states)
+            if bound < max(LEAST_BITS, w.best):
+                continue
+            if w.shouted == -math.inf and bound >= LEAST_BITS_PER_CHAR * (end - w.at):
+                w.best, w.end = float(bound), int(end)
+            elif max(b + spare[q] for b, q in states) - w.plain >= LEAST_BITS_PER_CHAR * (k - w.at):
+                self._go(s, w, len(s))
 
 
 def generated(n: int = SAMPLE) -> dict[str, list[str]]:
@@ -278,10 +350,8 @@ def _formats(text: str, taken: list[tuple[int, int]], model: Model) -> Iterator[
     """The spans of learned formats; ``taken`` are the merged base spans, ascending."""
     for m in RUN.finditer(text):
         run, found = m[0], []
-        for at in range(len(run) - LEAST_CHARS + 1):
-            if at and run[at - 1] not in SEPARATORS:
-                continue
-            gain, end = model.best_end(run, at)
+        starts = [at for at in range(len(run) - LEAST_CHARS + 1) if not at or run[at - 1] in SEPARATORS]
+        for at, (gain, end) in zip(starts, model.best_ends(run, starts)):
             a, b = m.start() + at, m.start() + end
             k = bisect_right(taken, (a, len(text))) - 1
             if end > at and not (k >= 0 and b <= taken[k][1]):

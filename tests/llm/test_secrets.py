@@ -3,6 +3,8 @@ import random
 import re
 import string
 
+import numpy as np
+
 from data import SCHEMA, awkward_rows, frame
 from skein.llm import secrets as s
 
@@ -177,3 +179,21 @@ def test_redaction(spark):
     docs = frame(spark)
     assert s.redacted(docs, model).columns == docs.columns and s.redacted(docs, model).count() == len(awkward_rows())
     assert s.spans(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+def test_candidates_have_no_longest_length(monkeypatch):
+    rnd = random.Random(3)
+    blob = lambda chars, n, size: "-".join("".join(rnd.choice(chars) for _ in range(size)) for _ in range(n))
+    keys = [blob("0123456789abcdef", rnd.randint(2, 9), 8) for _ in range(400)]
+    model = s.fit(s.generated() | {"assign": keys}, np.ones((len(s.ALPHABET) + 1, len(s.ALPHABET))))
+    run = "word-" + blob("0123456789abcdef", 200, 8)  # the second start is followed past 1,024 characters
+    (span,) = s._formats(run, [], model)
+    assert span == (5, len(run))
+    # The look ahead agrees with walks that are followed to the end of the run.
+    monkeypatch.setattr(s, "LONG_CHARS", 40)
+    for chars in ("0123456789abcdef", "0123456789", "ABCDEF0123456789", "abcdefghijklmnop") * 3:
+        run = blob(chars, 30, rnd.randint(4, 12)) + "-" + blob("0123456789abcdef", 12, 8)
+        starts = [at for at in range(len(run) - s.LEAST_CHARS + 1) if not at or run[at - 1] in s.SEPARATORS]
+        for at, (gain, end) in zip(starts, model.best_ends(run, starts)):
+            plain = model.best_end(run, at)
+            assert end == plain[1] and abs(gain - plain[0]) < 1e-6
