@@ -37,6 +37,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,9 @@ V_PENALTY = 3.0
 #: A step of w, of v, moves the scores of its rows by at most this much (root mean square).
 W_MOVE = 10.0
 V_MOVE = 0.3
+#: The training rows reach the driver in so many parts; so many bytes of a row are compared first.
+PARTS = 16
+PREFIX = 64
 SEED = 5
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -153,6 +157,26 @@ def usable_columns(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return columns, docs[columns]
 
 
+def _placed(rows: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """The model rows of each document, all in one array."""
+    flat, ends = np.empty(sum(map(len, rows)), np.int32), [0]
+    for r in rows:
+        k = at[r]
+        k = k[k >= 0]
+        flat[ends[-1] : ends[-1] + len(k)] = k
+        ends.append(ends[-1] + len(k))
+    return [flat[a:z] for a, z in pairwise(ends)]
+
+
+def in_order(flat: bytes | bytearray, ends: list[int], toxic: list[int]) -> list[int]:
+    """The order of the rows by (bytes, toxic); whole rows are copied only where ``PREFIX`` bytes tie."""
+    begins = lambda i: bytes(flat[ends[i] : min(ends[i] + PREFIX, ends[i + 1])])
+    out: list[int] = []
+    for _, tied in groupby(sorted(range(len(toxic)), key=begins), key=begins):
+        out += sorted(tied, key=lambda i: (bytes(flat[ends[i] : ends[i + 1]]), toxic[i]))
+    return out
+
+
 def _within(move: np.ndarray, most: float) -> float:
     """The share of a step that moves scores by ``most`` at the root mean square."""
     return min(1.0, most / np.sqrt((move**2).mean() + 1e-12))
@@ -170,7 +194,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: i
     if not len(columns):
         return model
     at = model.place()
-    rows = [(k := at[r])[k >= 0] for r in rows]
+    rows = _placed(rows, at)
     noise = np.sqrt(docs) / n
     back_of = np.zeros(len(columns), np.int64)
     g0, gw = 1e-8, np.full_like(w, 1e-8)
@@ -257,11 +281,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Ma
     hashed = texts.select(F.xxhash64("l_id").alias("h"), "toxic", "text").mapInArrow(_terms_of, "h long, toxic int, terms array<int>")
     terms = table(hashed.orderBy("h", F.xxhash64("terms"), "toxic").limit(most_rows), "terms")
     held = terms.select(F.explode("terms").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
-    keep = np.sort(np.array([r.c for r in held.select("c").collect()], np.int32))  # at most 2**HASH_BITS
-    got = terms.mapInArrow(_only(keep), "toxic int, terms binary").collect()
-    got.sort(key=lambda r: (bytes(r.terms), r.toxic))
-    rows = [np.frombuffer(r.terms, np.int32) for r in got]
-    return fit(rows, np.array([float(r.toxic > 0) for r in got]))
+    keep = np.sort(held.select("c").toArrow().column("c").to_numpy())  # at most 2**HASH_BITS
+    # One partition's rows at a time pass through the driver's JVM; here they go to the end of one buffer.
+    flat, ends, toxic = bytearray(), [0], []
+    for r in terms.repartition(PARTS).mapInArrow(_only(keep), "toxic int, terms binary").toLocalIterator():
+        flat += r.terms
+        ends.append(len(flat))
+        toxic.append(r.toxic)
+    order = in_order(flat, ends, toxic)
+    every = np.frombuffer(flat, np.int32)
+    rows = [every[ends[i] // 4 : ends[i + 1] // 4] for i in order]
+    return fit(rows, np.array([float(toxic[i] > 0) for i in order]))
 
 
 def _score_with(model: Machine):

@@ -165,3 +165,26 @@ def test_only_the_kept_columns_travel():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([[3, 5, 9], []], pa.list_(pa.int32()))], ["toxic", "terms"])
     (out,) = t._only(np.array([3, 9], np.int32))(iter([batch]))
     assert [np.frombuffer(x, np.int32).tolist() for x in out.column("terms").to_pylist()] == [[3, 9], []]
+
+
+def test_rows_keep_their_order_in_one_buffer():
+    rnd = random.Random(3)
+    long = bytes(80)
+    rows = [(rnd.choice([b"", long, long + b"ab", b"q" * rnd.randint(0, 90)]), rnd.randint(0, 1)) for _ in range(200)]
+    flat, ends = b"".join(r for r, _ in rows), [0]
+    for r, _ in rows:
+        ends.append(ends[-1] + len(r))
+    order = t.in_order(flat, ends, [y for _, y in rows])
+    assert sorted(order) == list(range(200)) and [rows[i] for i in order] == sorted(rows)
+
+
+def test_training_rows_are_not_collected_at_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self):
+        raise AssertionError("all rows at once")
+
+    monkeypatch.setattr(DataFrame, "collect", refuse)
+    rows = [(i, f"alder birch {WORDS[i % 12]}", "en", "s", 1) for i in range(60)]
+    model = t.train(frame(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS))
+    assert len(model.columns)
