@@ -9,7 +9,8 @@ of minimum rank until no piece has a pair left; an ordered aggregation of token
 bytes decodes the result.
 
 Pieces repeat, so a worker keeps the encodings it has used lately (two
-generations of ``CACHE_PIECES``) and asks DuckDB for new ones only.
+generations of ``CACHE_PIECES``, the older one packed) and asks DuckDB for new
+ones only.
 
 A recursive query keeps the rows of all its rounds, so it runs in slices of at
 most ``SLICE_ROWS`` rows: a slice ends after so many rounds and the next starts
@@ -141,6 +142,16 @@ def _proved(path: str) -> bool:
     return rounds_may_join(ranks(path))
 
 
+def _packed(hit: tuple[str, bytes]) -> bytes:
+    """Ids and decoded bytes in one object; ids hold no ``|``."""
+    return hit[0].encode() + b"|" + hit[1]
+
+
+def _unpacked(packed: bytes) -> tuple[str, bytes]:
+    ids, _, decoded = packed.partition(b"|")
+    return ids.decode(), decoded
+
+
 class Codec:
     """An in-memory DuckDB with the vocabulary, and the pieces used lately."""
 
@@ -150,7 +161,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.long_piece = long_piece
         self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, bytes] = {}  # packed
         self.byte_ids = np.array([of[bytes([i])] for i in range(256)], np.int32)
         merges = [
             (of[t[:i]] * 65536 + of[t[i:]], rank)
@@ -212,7 +223,7 @@ class Codec:
                     if hit is None:
                         new.add(p)
                     else:
-                        young[p] = hit
+                        young[p] = _unpacked(hit)
         if new:
             self.learn(sorted(new))
         out = []
@@ -220,7 +231,10 @@ class Codec:
             got = [young[p] for p in pieces]
             out.append(([g[0] for g in got], [g[1] for g in got]))
         if len(young) > CACHE_PIECES:
-            self.old, self.young = young, {}
+            self.old, self.young = {}, {}
+            while young:  # one at a time, so the two forms are never held together
+                p, hit = young.popitem()
+                self.old[p] = _packed(hit)
         return out
 
 

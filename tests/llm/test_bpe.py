@@ -62,3 +62,13 @@ def test_cache_turns_over(monkeypatch):
     for text in ("one two three four five", "six one seven", "two eight nine ten", "one six ten"):
         ids = [int(i) for p in codec.encode([text])[0][0] for i in p.split(",")]
         assert ids == EXACT.encode_ordinary(text)
+
+
+def test_the_older_half_of_the_cache_is_packed(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 2)
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    text = "a | b||c | \x00 unhyphenated"
+    first = codec.encode([text])
+    assert codec.old and not codec.young and all(isinstance(x, bytes) for x in codec.old.values())
+    assert codec.encode([text]) == first
+    assert b"".join(first[0][1]).decode() == text
