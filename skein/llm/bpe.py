@@ -24,7 +24,9 @@ the lower ranks make of a stretch whose ends are token borders depends on the
 stretch alone, so it is enough to look at T's own bytes.)  For a vocabulary
 without that property long pieces contract one pair a round like all others.
 
-Memory is bounded by one document, the cache and one slice.  DuckDB may spill
+Memory is bounded by one document, the cache and one slice.  With a ``share`` of s
+cache, batches and slices are s times smaller and the result is the same: for workers
+whose executor keeps what other stages have grown.  DuckDB may spill
 what exceeds its limit to the worker's own TMPDIR and removes it.  A lost executor
 repeats its partitions; nothing is kept between tasks but caches.
 
@@ -155,9 +157,10 @@ def _unpacked(packed: bytes) -> tuple[str, bytes]:
 class Codec:
     """An in-memory DuckDB with the vocabulary, and the pieces used lately."""
 
-    def __init__(self, path: str, pattern: str, long_piece: int = LONG_PIECE):
+    def __init__(self, path: str, pattern: str, long_piece: int = LONG_PIECE, share: int = 1):
         of = ranks(path)
         self.path = path
+        self.share = share
         self.pattern = regex.compile(pattern)
         self.long_piece = long_piece
         self.young: dict[str, tuple[str, bytes]] = {}
@@ -188,7 +191,7 @@ class Codec:
         try:
             came = "start"
             while True:
-                rounds = max(1, SLICE_ROWS // rows)
+                rounds = max(1, SLICE_ROWS // self.share // rows)
                 self.db.execute(_SLICE.format(into=into, start=came, round=one_round.format(rounds=rounds)))
                 rows, most = self.db.execute(f"SELECT count(*), max(round) FROM {into}").fetchone()
                 if most < rounds:
@@ -200,13 +203,14 @@ class Codec:
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode these pieces and keep the result."""
         raw = [p.encode() for p in pieces]
+        most_pieces, most_bytes = max(1, NEW_PIECES // self.share), PIECE_BYTES // self.share
         for long in (False, True):
             own = [i for i, r in enumerate(raw) if (len(r) > self.long_piece) == long]
             edges = np.cumsum([len(raw[i]) for i in own])
             a = 0
-            while a < len(own):  # at most NEW_PIECES pieces of PIECE_BYTES, one at least
-                z = int(np.searchsorted(edges, PIECE_BYTES + (edges[a - 1] if a else 0), "right"))
-                step = own[a : max(a + 1, min(z, a + NEW_PIECES))]
+            while a < len(own):  # at most so many pieces of so many bytes, one at least
+                z = int(np.searchsorted(edges, most_bytes + (edges[a - 1] if a else 0), "right"))
+                step = own[a : max(a + 1, min(z, a + most_pieces))]
                 for n, ids, decoded in self._contract([raw[i] for i in step], long):
                     self.young[pieces[step[n]]] = (ids, bytes.fromhex(decoded))
                 a += len(step)
@@ -230,7 +234,7 @@ class Codec:
         for pieces in cut:
             got = [young[p] for p in pieces]
             out.append(([g[0] for g in got], [g[1] for g in got]))
-        if len(young) > CACHE_PIECES:
+        if len(young) > CACHE_PIECES // self.share:
             self.old, self.young = {}, {}
             while young:  # one at a time, so the two forms are never held together
                 p, hit = young.popitem()
@@ -239,13 +243,13 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=1)
-def _codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def _codec(path: str, pattern: str, share: int = 1) -> Codec:
+    return Codec(path, pattern, share=share)
 
 
-def _digests(path: str, pattern: str):
+def _digests(path: str, pattern: str, share: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
+        codec = _codec(path, pattern, share)
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
             texts: list[str] = []
@@ -262,7 +266,7 @@ def _digests(path: str, pattern: str):
             for i in range(b.num_rows):
                 texts.append(column[i].as_py() or "")
                 held += len(texts[-1])
-                if held >= BATCH_CHARS:
+                if held >= BATCH_CHARS // share:
                     flush()
                     held = 0
             flush()
@@ -291,10 +295,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     return d.mapInArrow(_ids(path, pattern), "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``."""
+def token_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, share: int = 1) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``; ``share`` makes a worker's cache, batches and slices smaller."""
     d = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(_digests(path, pattern, share), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

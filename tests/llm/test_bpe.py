@@ -72,3 +72,19 @@ def test_the_older_half_of_the_cache_is_packed(monkeypatch):
     assert codec.old and not codec.young and all(isinstance(x, bytes) for x in codec.old.values())
     assert codec.encode([text]) == first
     assert b"".join(first[0][1]).decode() == text
+
+
+def test_a_share_makes_cache_batches_and_slices_smaller(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 8)
+    monkeypatch.setattr(bpe, "SLICE_ROWS", 4000)
+    monkeypatch.setattr(bpe, "NEW_PIECES", 8)
+    whole, part = (bpe.Codec(PATH, public_tokenizers.PATTERN, share=s) for s in (1, 4))
+    steps: list[int] = []
+    contract = part._contract
+    part._contract = lambda pieces, long: steps.append(len(pieces)) or contract(pieces, long)
+    texts = ["one two three four", "=" * 500 + " x"]
+    for text in texts:
+        assert part.encode([text]) == whole.encode([text])
+    assert max(steps) == 2 and not whole.old and len(part.old) > 2
+    got = bpe.token_digests(frame(spark), PATH, share=1000).collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], *brute(r[1])) for r in awkward_rows())
