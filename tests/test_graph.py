@@ -1,3 +1,7 @@
+import random
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +178,27 @@ def test_scores_of_long_labels_take_work_by_their_length(spark):
     got = [sorted(r.s) for r in df.select(text.shingles(F.col("t")).alias("s")).collect()]
     assert got == [["abc"], ["ab"], [""], ["abc", "bca", "cab"], sorted(["xéy", "éy😀", "y😀z"])]
     assert [round(r.e, 6) for r in df.select(text.entropy(F.col("t")).alias("e")).collect()] == [2.0, round(1.584962500721156, 6), 0.0, 1.556657, 2.321928]
+
+
+def test_communities_do_not_hold_the_edges(monkeypatch):
+    rnd = random.Random(3)
+    pairs = sorted({tuple(sorted(rnd.sample(range(250), 2))) if rnd.random() < 0.8 else (rnd.randrange(250), 250 + rnd.randrange(250)) for _ in range(60_000)})
+    batches = lambda n: (pa.RecordBatch.from_pydict({"a": [7 + a for a, _ in p], "b": [7 + b for _, b in p], "w": [float(1 + (a + b) % 5) for a, b in p]}) for p in (pairs[i : i + n] for i in range(0, len(pairs), n)))
+    m = float(sum(1 + (a + b) % 5 for a, b in pairs))
+
+    def moved(block, of):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        return [(n, low) for b in cluster._moved_batches(m, 500)(of) for n, low in zip(*(b.column(x).to_pylist() for x in ("n", "low")))]
+
+    whole = moved(1 << 18, batches(len(pairs)))
+    assert len(whole) == 500 and all(low <= n for n, low in whole)
+    shuffled = list(batches(300))
+    rnd.shuffle(shuffled)
+    tracemalloc.start()
+    try:
+        assert moved(500, iter(shuffled)) == whole
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(pairs) > 25_000 and peak < 40 * len(pairs)
+    assert list(cluster._moved_batches(1.0, 0)(iter([]))) == []
