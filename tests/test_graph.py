@@ -202,3 +202,17 @@ def test_communities_do_not_hold_the_edges(monkeypatch):
         tracemalloc.stop()
     assert len(pairs) > 25_000 and peak < 40 * len(pairs)
     assert list(cluster._moved_batches(1.0, 0)(iter([]))) == []
+
+
+def test_communities_find_components_by_numbers(spark, monkeypatch):
+    kinds, one = [], cluster._components
+    monkeypatch.setattr(cluster, "_components", lambda e, *ends: kinds.extend(k for _, k in e.select(*ends).dtypes) or one(e, *ends))
+    got = {r.id: r.community for r in cluster.communities(graph(spark, "abcdef", ["ad", "dc", "be", "gf"])).collect()}
+    assert kinds == ["bigint", "bigint"] and [got[i] for i in "acdbef"] == [0, 0, 0, 1, 1, 2]
+    far = pa.RecordBatch.from_pydict({"a": [5, 70_000_000], "b": [40_000_000, 70_000_001], "w": [1.0, 1.0]})
+    tracemalloc.start()
+    try:
+        rows = [r for b in cluster._moved_batches(2.0, 4)(iter([far])) for r in zip(*(b.column(x).to_pylist() for x in ("n", "low")))]
+        assert rows == [(5, 5), (40_000_000, 5), (70_000_000, 70_000_000), (70_000_001, 70_000_000)] and tracemalloc.get_traced_memory()[1] < 30_000_000
+    finally:
+        tracemalloc.stop()
